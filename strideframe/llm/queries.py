@@ -53,6 +53,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM t WHERE rank
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan_secrets, span_text
 
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk": op2_topk,
     "op3_token_files": op3_token_files,
     "op5_packing": op5_packing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_secrets": op7_secrets,
     "op8_decontamination": op8_decontamination,
     "op9_chat": op9_chat,
