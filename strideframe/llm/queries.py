@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import oracle_sql as license_sql
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -27,6 +29,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(with_starts(index)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -34,6 +42,20 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Host, path and verdict of the rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's number in its path is its document, whose labels are the page's: bad is low quality or toxic."""
+    from .url_filters import filter_urls, host_and_path
+
+    _, path = host_and_path("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").withColumn("doc_id", F.try_to_number(F.nullif(F.regexp_extract(path, r"^/[a-z]+/([0-9]{1,18})(?:[/.]|$)", 1), F.lit("")), F.lit("9" * 18)).cast("long"))
+    bad = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long")).alias("bad"))
+    return filter_urls(pages.join(bad, "doc_id", "left"), URL_RULES, label_col="bad")
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -113,9 +135,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+OP4_SQL = license_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_topk": op2_topk,
     "op3_token_files": op3_token_files,
+    "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_ngram_join": op6_ngram_join,
     "op7_secrets": op7_secrets,
@@ -124,4 +151,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op9_chat": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op4_licenses": OP4_SQL, "op9_chat": OP9_SQL}
