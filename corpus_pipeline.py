@@ -1,11 +1,62 @@
-"""Corpus pipeline over ``documents``: stages are added as their operators are."""
+"""Corpus pipeline over ``documents``: five stages, each on all that its predecessor kept.
 
-STAGES: list = []
+language       documents whose language can't be told go
+near_copies    one document of each group of linked documents stays
+benchmark      documents contaminated by benchmark passages go
+secrets        secrets in texts are masked
+packing        texts become pieces of token sequences
+
+All but the last return the columns of ``documents``.  The stages read whole
+texts; null and empty texts leave with the first stage, as they have no letter.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strideframe.llm import common, decontamination, langid, ngram_join, packing, queries, secrets
+
+#: A document is rejected where the best language has less than this share of its n-grams.
+LEAST_SHARE = 0.05
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows of the table itself (a bounded sample) and keeps what it can tell."""
+    model = langid.fit(docs.where(~langid.held_out()))
+    plain = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    found = langid.identify(plain, model, text_col=f"c{docs.columns.index('text')}")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_duplicates(docs, num=80, den=100, n=5)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks all spans, base and linked; ``n_chars`` follows the text."""
+    masked = secrets.mask_secrets(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset and its ids (little-endian unsigned 32-bit integers)."""
+    return packing.pack_documents(docs, queries.tokenizer_path(), 2)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("secrets", mask), ("packing", pack)]
+
+#: Tokens and learnt languages are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, function in STAGES:
-        docs = function(spark, docs, sf_dir)
-    return docs
+    for name, function in STAGES[:-1]:
+        docs = common.stage(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
