@@ -308,7 +308,7 @@ def score_summary(t):
 @query(_grid_sql(f"SELECT {LINEAGE_SQL}, resolution_m, cell_id, " + ", ".join(f"count_{c}" for c in CATEGORIES) + ", " + ", ".join(f"score_{c}" for c in CATEGORIES) + ", total_score FROM scored"))
 def publish_rows_grid(t):
     rows = publishing.grid_rows(_scored(t), **LINEAGE)
-    return rows.select("build_key", "config_hash", "import_fingerprint", "created_at", "cell_id").join(publishing.flat_grid(rows), "cell_id") if False else rows.select("build_key", "config_hash", "import_fingerprint", "created_at", "resolution_m", "cell_id", *(F.coalesce(F.col("counts")[c], F.lit(0)).cast("long").alias(f"count_{c}") for c in CATEGORIES), *(F.col("scores")[c].alias(f"score_{c}") for c in CATEGORIES), "total_score")
+    return rows.select("build_key", "config_hash", "import_fingerprint", "created_at", "resolution_m", "cell_id", *(F.coalesce(F.col("counts")[c], F.lit(0)).cast("long").alias(f"count_{c}") for c in CATEGORIES), *(F.col("scores")[c].alias(f"score_{c}") for c in CATEGORIES), "total_score")
 
 
 @query(sql(f"SELECT {LINEAGE_SQL}, category, round(lat, 6) AS lat, round(lon, 6) AS lon, 'osm_local_pbf' AS source, osm_type || '/' || osm_id AS source_ref FROM amenities", "amenities"))
