@@ -21,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -65,7 +66,7 @@ def anchors(templates: list[tuple[str, str]], least: float) -> list[str]:
     found: list[str] = []
     for _, text in templates:
         grams = bigrams_of(text)
-        shared = -int(-len(grams) * least / (2 - least) // 1)
+        shared = math.ceil(len(grams) * least / (2 - least) - 1e-9)
         pick = lambda gram: max(gram.split(), key=lambda w: (w in found, len(w), w))
         # the bigrams whose words are known already, or long, come first
         for gram in sorted(grams, key=lambda g: (not set(g.split()) & set(found), -len(max(g.split(), key=len)), g))[: len(grams) - shared + 1]:
@@ -92,7 +93,7 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: list[tuple[
     units = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), lines, sentences))
     known = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, bigrams_of(words))).alias("bigrams")) for name, words in sorted(templates)))
     sizes = [len(bigrams_of(words)) for _, words in templates]
-    ratio = least / (2 - least)
+    ratio = least / (2 - least) - 1e-9  # a little less, for rounding
 
     def best(unit: Column) -> Column:
         fitting = F.filter(known, lambda t: (F.size(unit) >= ratio * F.size(t["bigrams"])) & (ratio * F.size(unit) <= F.size(t["bigrams"])))
@@ -123,7 +124,6 @@ u AS (
   SELECT r, doc_id, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigrams FROM w WHERE len(words) > 1 AND len(words) < 2000
 ), s AS (
   SELECT r, doc_id, unit, license, k, 2.0::DOUBLE * len(list_intersect(b.bigrams, t.bigrams)) / (len(b.bigrams) + len(t.bigrams)) AS dice FROM b, t
-  WHERE len(b.bigrams) >= {least} / (2 - {least}) * len(t.bigrams) AND len(b.bigrams) * {least} / (2 - {least}) <= len(t.bigrams)
 ), x AS (SELECT r, doc_id, unit, arg_max(license, dice * 1000 - k * 0.000001) AS license, max(dice) AS dice FROM s GROUP BY ALL HAVING max(dice) >= {least})
 SELECT doc_id, license, round(max(dice), 9) AS dice, count(*) AS n_units FROM x GROUP BY r, doc_id, license
 """

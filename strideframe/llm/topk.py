@@ -15,7 +15,7 @@ query) meet in a window per query.  Nothing is broadcast or collected.
 
 Components are floor(scale * x).  Scores are integers: sums run in doubles
 where every partial sum is below 2^53, else in Python integers, which stay
-exact; a score beyond 64 bits is returned as the nearest 64-bit value.
+exact; a score beyond 64 bits counts as the nearest 64-bit value.
 
 Defined results: vectors that are null or hold a null or non-finite component
 take no part, nor do those with an empty list or a null id; ties go to the
@@ -117,8 +117,8 @@ def _search_large(query_ids, queries, ids, columns, k):
     rows = [[int(x) for x in c] for c in columns.T.tolist()]
     for query, q in zip(query_ids.tolist(), queries.T.tolist(), strict=True):
         q = [int(x) for x in q]
-        scores = sorted((-sum(a * b for a, b in zip(q, r, strict=True)), int(i)) for i, r in zip(ids.tolist(), rows, strict=True) if i != query)
-        yield from ((query, i, max(-most - 1, min(most, -s))) for s, i in scores[:k])
+        scores = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(q, r, strict=True)))), int(i)) for i, r in zip(ids.tolist(), rows, strict=True) if i != query)
+        yield from ((query, i, -s) for s, i in scores[:k])
 
 
 def top_k(vectors: DataFrame, is_query: F.Column, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 2048, block: int = 8192) -> DataFrame:
