@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import oracle_sql as license_sql
+from .oracles import OP6_SQL, OP8_SQL, op1_sql
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -151,4 +152,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {"op2_topk": OP2_SQL, "op4_licenses": OP4_SQL, "op9_chat": OP9_SQL}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": op1_sql(URL_RULES),
+    "op2_topk": OP2_SQL,
+    "op4_licenses": OP4_SQL,
+    "op6_ngram_join": OP6_SQL,
+    "op8_decontamination": OP8_SQL,
+    "op9_chat": OP9_SQL,
+}
