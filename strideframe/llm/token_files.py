@@ -3,8 +3,8 @@
 ``write_token_files`` deals the documents out by ranges of their id, encodes
 each range in ascending id order and writes it as one Arrow IPC file whose
 record batches hold two fixed-size-list columns: ``tokens`` (unsigned 16-bit
-integers where the vocabulary allows, else 32-bit) and ``mask`` (1 for a token,
-0 for the padding of the file's last sequence).  Every sequence has the same
+integers where the vocabulary allows, else 32-bit) and ``mask`` (a bit: 1 for a
+token, 0 for the padding of the file's last sequence).  Every sequence has the same
 length, so sequence k of a file is a zero-copy slice of batch ``k //
 sequences_per_batch`` when the file is mapped into memory.  The index that is
 returned (a written table in the shared folder) has for each document its
@@ -47,7 +47,7 @@ class _Writer:
         self.store, path = fs.FileSystem.from_uri(uri)
         self.sink = self.store.open_output_stream(path)
         self.kind, self.length, self.size = kind, length, length * per_batch
-        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[np.ndarray] = []
         self.n = 0
@@ -63,8 +63,8 @@ class _Writer:
             self.held, self.n = [ids[whole:].copy()], len(ids) - whole
 
     def _batch(self, ids: np.ndarray, n: int) -> None:
-        mask = (np.arange(len(ids)) < n).astype(np.uint8)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x, t), self.length) for x, t in ((ids, self.kind), (mask, pa.uint8()))]
+        mask = np.arange(len(ids)) < n
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x, t), self.length) for x, t in ((ids, self.kind), (mask, pa.bool_()))]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
