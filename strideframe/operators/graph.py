@@ -63,4 +63,5 @@ def degree_offsets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: node_count, edge_count."""
-    return nodes.agg(F.count("*").alias("node_count")).join(edges.agg(F.count("*").alias("edge_count")))
+    both = nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(edges.select(F.lit(0).alias("n"), F.lit(1).alias("e")))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("node_count"), F.coalesce(F.sum("e"), F.lit(0)).alias("edge_count"))
