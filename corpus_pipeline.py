@@ -1,6 +1,6 @@
 """Corpus pipeline over ``documents``: five stages, each on all that its predecessor kept.
 
-language       documents whose language can't be told go
+language       documents whose language can't be told go (short ones only if they have no letter)
 near_copies    one document of each group of linked documents stays
 benchmark      documents contaminated by benchmark passages go
 secrets        secrets in texts are masked
@@ -17,16 +17,17 @@ from pyspark.sql import functions as F
 
 from strideframe.llm import common, decontamination, langid, ngram_join, packing, queries, secrets
 
-#: A document is rejected where the best language has less than this share of its n-grams.
-LEAST_SHARE = 0.05
+#: A document is rejected where the best language has less than this share of its n-grams, unless it is shorter than this.
+LEAST_SHARE, SHORT = 0.05, 40
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of the table itself (a bounded sample) and keeps what it can tell."""
     model = langid.fit(docs.where(~langid.held_out()))
     plain = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    found = langid.identify(plain, model, text_col=f"c{docs.columns.index('text')}")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    text = f"c{docs.columns.index('text')}"
+    told = (F.col("score") >= LEAST_SHARE) | (F.length(text) < SHORT)
+    return langid.identify(plain, model, text_col=text).where((F.col("lang_pred") != "und") & told).select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
