@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Used only where the session names no checkpoint folder (tests, local runs).
 LOCAL_CHECKPOINT_DIR = "file:///tmp/checkpoints/strideframe"
@@ -45,17 +46,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """Row-wise Arrow map.  ``make()`` runs once in each task and gives a function of one input row's values that returns output rows (tuples)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
-        for batch in batches:
-            for part in split_batch(batch):
-                rows = [r for values in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in one(*values)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)] if rows else [pa.array([], t) for t in arrow.types], schema=arrow)
-
-    return df.mapInArrow(run, schema)
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` with more fields at its end."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
 def split_batch(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_batch
+from .common import split_batch, with_fields
 
 #: The kinds in their order, and the patterns of the strong spans.
 KINDS = ("assign", "access", "hex", "secret_part", "id_part")
@@ -100,10 +100,10 @@ def scan_text(text: str | None, scope: int = 400) -> list[tuple[int, int, int]]:
 
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", out_col: str = "secret_spans", scope: int = 400) -> DataFrame:
-    """``docs`` with the spans of each whole text, by start, then kind."""
+    """``docs`` with the spans of each whole text, by start, then kind, in ``out_col``, which takes the place of a column of that name."""
+    docs = docs.drop(out_col)
     where = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,7 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", out_col: str = "sec
                 spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan_text(x, scope)] for x in part.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kind)], names=[*(f"c{i}" for i in range(part.num_columns)), "spans"])
 
-    return docs.mapInArrow(run, f"{fields}`{out_col}` {SPANS}")
+    return docs.mapInArrow(run, with_fields(docs, f"`{out_col}` {SPANS}"))
 
 
 def cut_spans(text: str | None, spans: list[tuple[int, int, int]], mask: str = "[SECRET]") -> str | None:
@@ -131,7 +131,6 @@ def cut_spans(text: str | None, spans: list[tuple[int, int, int]], mask: str = "
 def mask_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", scope: int = 400) -> DataFrame:
     """``docs`` with all spans of the text column masked; other columns stay."""
     where = docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +140,7 @@ def mask_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRE
                 columns[where] = pa.array(texts, columns[where].type)
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(part.num_columns)])
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def span_text(spans: str | F.Column, kinds: tuple[str, ...] | None = None) -> F.Column:

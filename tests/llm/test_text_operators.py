@@ -49,12 +49,12 @@ TEXTS = [(1, "zero one TWO three two_three"), (2, None), (3, ""), (4, "ä b c d
 def test_benchmark_of_odd_rows(spark, docs):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     for shard in (2_000_000, 3):
-        got = decontamination.benchmark_hits(docs(TEXTS).select("doc_id", "text"), bench, shard_words=shard)
+        got = decontamination.benchmark_hits(docs(TEXTS), bench, shard_words=shard)
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got.collect()), key=str) == brute_hits(TEXTS, ITEMS)
     clean = decontamination.remove_contaminated(docs(TEXTS), bench)
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["2", "3", "5", "7", "None"] and clean.columns == docs([]).columns
     assert decontamination.remove_contaminated(docs(TEXTS), bench.limit(0)).count() == len(TEXTS)
-    assert decontamination.benchmark_hits(docs([]).select("doc_id", "text"), bench).count() == 0
+    assert decontamination.benchmark_hits(docs([]), bench).count() == 0
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
