@@ -51,6 +51,17 @@ def with_fields(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+#: Rows of an Arrow batch: at a few kB of text each, some MB.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large rows: makes Arrow batches smaller than Spark's default, unless the session has a size of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def split_batch(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes at most (one row at least), so that a batch of long texts isn't held as Python objects at once."""
     rows = max(1, min(batch.num_rows, most * batch.num_rows // max(1, batch.nbytes)))

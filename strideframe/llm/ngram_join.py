@@ -11,16 +11,19 @@ Candidates come from two signature schemes that share one posting pass:
 * heavy pairs: inverted lists.  Shingles are dealt by hash to blocks; a link
   differs in at most ``h`` shingles, so of ``h + 1 + spare`` blocks more than
   ``spare`` agree whole.  A list's key is a block's number and content, and a
-  set enters the lists of all size bands in which a partner can lie.  A set
-  with at most ``spare`` empty blocks shares a block that isn't empty with any
-  partner; the few others also enter the lists of their empty blocks.
+  set enters the lists of all size bands in which a partner can lie.  Sets of
+  more than three quarters of ``spare`` empty blocks, which are few, also enter
+  the lists of these; so any link shares some lists at least (``shared_lists``).
 
 ``boundary`` is where enumerating subsets starts to cost more postings than the
 lists, by the signature counts of the two schemes (``choose_boundary``).
 
 Keys of whole blocks (about five shingles) rather than single shingles keep
-lists short where many documents share a passage or a line.  Copies that are
-the same text are one representative beforehand, so a hot copy is one row.
+lists short where many documents share a passage or a line.  From the lists that
+are long nonetheless a document leaves if it has fewer of them than a link
+shares: its links all show in short lists, and what a common passage lines up
+falls apart.  Copies that are the same text are one representative beforehand, so
+a hot copy is one row.
 
 A list of more than one document becomes bounded chunks.  Chunks are compared by
 parity sketches: the popcount of two sketches' difference never exceeds the
@@ -39,7 +42,7 @@ dropped; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 from math import comb
 
 import numpy as np
@@ -48,11 +51,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_batch, stage
+from .common import small_batches, split_batch, stage
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _ALL = (1 << 64) - 1
+#: The low bits of a key say which band it belongs to (0: a light pair's subset).
+NUMBERS = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,7 +68,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingles of a text as sorted 64-bit hashes.  Words: A-Z lower-cased, white space is ``\\x20\\x09-\\x0D``."""
 
-    def __init__(self, n: int, keep: int = 300_000):
+    def __init__(self, n: int, keep: int = 100_000):
         self.n, self.keep, self.words = n, keep, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -100,20 +105,32 @@ class Signatures:
         """What a link whose larger set has this size shares at least."""
         return -(-self.num * larger // self.den)
 
-    def bands(self, size: int) -> Iterator[tuple[int, int]]:
-        """First and last size of the bands of larger sets in which a heavy pair of this set can lie."""
-        low = self.boundary + 1
+    def bands(self, size: int) -> Iterator[tuple[int, int, int]]:
+        """Number (from 1), first and last size of the bands of larger sets in which a heavy pair of this set can lie."""
+        low, number = self.boundary + 1, 1
         while low <= self.largest(size):
             high = max(low, low * 7 // 5)
             if high >= size:
-                yield low, high
-            low = high + 1
+                yield number, low, high
+            low, number = high + 1, number + 1
 
-    def blocks(self, high: int) -> tuple[int, int]:
-        """Blocks of a band, and how many may be empty."""
+    def blocks(self, high: int) -> tuple[int, int, int]:
+        """Blocks of a band, how many may be empty, and how many lists a link shares at least."""
         differ = 2 * high * (self.den - self.num) // (self.den + self.num)
-        spare = 2 + differ // 8
-        return differ + 1 + spare, spare
+        spare = 3 + differ // 8
+        empty = spare * 3 // 4
+        return differ + 1 + spare, empty, 1 + spare - empty
+
+    def shared_lists(self) -> list[int]:
+        """By band number what a link shares at least; 1 for light keys (number 0)."""
+        return [1, *(self.blocks(high)[2] for _, _, high in islice(self.all_bands(), NUMBERS - 1))]
+
+    def all_bands(self) -> Iterator[tuple[int, int, int]]:
+        low, number = self.boundary + 1, 1
+        while True:
+            high = max(low, low * 7 // 5)
+            yield number, low, high
+            low, number = high + 1, number + 1
 
     def light(self, shingles: np.ndarray) -> list[int]:
         size, out = len(shingles), []
@@ -122,20 +139,20 @@ class Signatures:
         listed = shingles.tolist()
         for c in sorted({self.overlap(b) for b in range(size, min(self.boundary, self.largest(size)) + 1)}):
             if c <= size:
-                out += [xxhash.xxh3_64_intdigest(np.array(s, "<u8").tobytes(), seed=c) for s in combinations(listed, c)]
+                out += [xxhash.xxh3_64_intdigest(np.array(s, "<u8").tobytes(), seed=c) & ~(NUMBERS - 1) for s in combinations(listed, c)]
         return out
 
     def heavy(self, shingles: np.ndarray) -> list[np.ndarray]:
         out = []
-        for low, high in self.bands(len(shingles)):
-            m, spare = self.blocks(high)
+        for band, low, high in self.bands(len(shingles)):
+            m, empty, _ = self.blocks(high)
             at = (_mix(shingles + np.uint64(low)) % np.uint64(m)).astype(np.int64)
             content = np.zeros(m, np.uint64)
             np.add.at(content, at, _mix(shingles ^ _ODD))
             full = np.bincount(at, minlength=m) > 0
-            keep = full if m - int(full.sum()) <= spare else np.ones(m, bool)
-            number = np.arange(m, dtype=np.uint64) + np.uint64((low << 32) & _ALL)
-            out.append(_mix(_mix(number) + content)[keep])
+            keep = full if m - int(full.sum()) <= empty else np.ones(m, bool)
+            block = np.arange(m, dtype=np.uint64) + np.uint64((low << 32) & _ALL)
+            out.append(_mix(_mix(block) + content)[keep] & np.uint64(_ALL ^ (NUMBERS - 1)) | np.uint64(min(band, NUMBERS - 1)))
         return out
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
@@ -152,7 +169,7 @@ def choose_boundary(num: int, den: int, most: int = 32) -> int:
     for size in range(1, most + 1):
         rule = Signatures(num, den, size)
         subsets = sum(comb(size, c) for c in {rule.overlap(b) for b in range(size, rule.largest(size) + 1)} if c <= size)
-        lists = sum(Signatures(num, den, size - 1).blocks(high)[0] for _, high in Signatures(num, den, size - 1).bands(size))
+        lists = sum(Signatures(num, den, size - 1).blocks(high)[0] for *_, high in Signatures(num, den, size - 1).bands(size))
         if subsets <= weight * lists:
             best = size
         else:
@@ -288,6 +305,7 @@ def _edge_batches(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordB
 
 
 _POSTINGS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
+LISTS = "key long, part int, members array<long>, node long, size long, sketch binary"
 _LISTS = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("members", pa.list_(pa.int64())), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
 
 
@@ -356,8 +374,9 @@ def _lists(most: int):
     return run
 
 
-def link_documents(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512, broadcast_ids: int = 1_000_000) -> DataFrame:
+def link_documents(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512, broadcast_ids: int = 200_000) -> DataFrame:
     """A row for each row with an id: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included).  ``chunk``: sets compared at once; ``broadcast_ids``: up to so many ids, the texts to read again are picked by a broadcast, beyond by a shuffle."""
+    small_batches(docs.sparkSession)
     rule = Signatures(num, den, choose_boundary(num, den))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
     rows = rows.withColumn("text_key", F.md5(F.col("text").cast("binary")))
@@ -370,13 +389,21 @@ def link_documents(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4
 
     # postings, lists, and each node's size and sketch
     posted = texts.select("node", "text").mapInArrow(_postings(rule, n), "key long, node long, sketch binary")
-    lists = stage(posted.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_lists(chunk), "key long, part int, members array<long>, node long, size long, sketch binary"), "lists")
+    lists = stage(posted.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_lists(chunk), LISTS), "lists")
     features = lists.where("node is not null").select("node", "size", "sketch")
     parts = lists.where("members is not null").select("key", "part", "members")
 
+    # long lists: only nodes with as many of a band's as a link shares stay
+    long = parts.where("part > 0").select("key").distinct().join(parts, "key").select("key", F.explode("members").alias("node")).withColumn("band", F.pmod("key", F.lit(NUMBERS)).cast("int"))
+    least = F.element_at(F.array(*map(F.lit, rule.shared_lists())), F.col("band") + 1)
+    enough = long.groupBy("node", "band").agg(F.count("*").alias("lists")).where(F.col("lists") >= least).select("node", "band")
+    left = long.join(enough, ["node", "band"]).select("key", "node", F.lit(None).cast("binary").alias("sketch"))
+    again = stage(left.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_lists(chunk), LISTS), "long-lists").select("key", "part", "members")
+
     # work items: each different list's parts, and pairs of parts of long lists
-    hot = parts.where("part > 0").select("key").distinct().join(parts, "key")
-    one = parts.select("members", F.lit(None).cast("array<long>").alias("others")).where("size(members) > 1")
+    short = parts.join(parts.where("part > 0").select("key").distinct(), "key", "left_anti")
+    hot = again.where("part > 0").select("key").distinct().join(again, "key")
+    one = short.unionByName(again).select("members", F.lit(None).cast("array<long>").alias("others")).where("size(members) > 1")
     two = hot.select("key", F.col("part").alias("p"), "members").join(hot.select("key", F.col("part").alias("q"), F.col("members").alias("others")), "key").where("p < q").select("members", "others")
     items = stage(one.unionByName(two).distinct().withColumn("item", F.monotonically_increasing_id()), "items")
     side = lambda name, k: items.select("item", F.lit(k).alias("side"), F.explode(name).alias("node"))
@@ -397,7 +424,7 @@ def link_documents(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4
     dealt = both.join(counted, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     wanted = nodes.join(both.select(F.col("id").alias("node")), "node")
     small = both.limit(broadcast_ids + 1).count() <= broadcast_ids
-    again = rows.join(F.broadcast(wanted) if small else wanted, ["text_key", "doc_id"]).select("node", "text")
+    reread = rows.join(F.broadcast(wanted) if small else wanted, ["text_key", "doc_id"]).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
@@ -406,7 +433,7 @@ def link_documents(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4
                 made = [shingles(x).astype("<u8").tobytes() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
 
-    known = again.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    known = reread.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     work = dealt.select(F.col("id").alias("node"), "component", "own", other.alias("other"))
     work = work.select("node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("item"), "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
