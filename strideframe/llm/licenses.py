@@ -8,10 +8,9 @@ first: for a coefficient of t the smaller set has at least t / (2 - t) of the
 larger one's bigrams, so other templates can't reach it.  The best template of a
 unit counts, from ``least`` on; ties go to the licence that sorts first.
 
-Texts are read once and nothing is shuffled: a text that lacks the anchor words
-of all templates is passed over.  To reach t a unit must share all but a few of
-a template's bigrams, so one of any few more occurs in it; the anchors are a
-word of each of these.
+Texts are read once and nothing is shuffled: a text that lacks all anchors is
+passed over.  To reach t a unit must share all but a few of a template's bigrams,
+so one of any few more occurs in it; these are the anchors.
 
 Defined results: a null or empty text has no licence and no row; a unit of one
 word has no bigram; rows that repeat an id are scanned each on its own; units
@@ -23,6 +22,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,32 +63,32 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def anchors(templates: list[tuple[str, str]], least: float) -> list[str]:
-    """Words of which every unit that reaches ``least`` with some template has one."""
-    found: list[str] = []
+    """Bigrams of which every unit that reaches ``least`` with some template has one: of each template one more than a unit may lack, those that are chosen already and long ones first."""
+    found: dict[str, None] = {}
     for _, text in templates:
         grams = bigrams_of(text)
         shared = math.ceil(len(grams) * least / (2 - least) - 1e-9)
-        pick = lambda gram: max(gram.split(), key=lambda w: (w in found, len(w), w))
-        # the bigrams whose words are known already, or long, come first
-        for gram in sorted(grams, key=lambda g: (not set(g.split()) & set(found), -len(max(g.split(), key=len)), g))[: len(grams) - shared + 1]:
-            if pick(gram) not in found:
-                found.append(pick(gram))
-    return found
+        found |= dict.fromkeys(sorted(grams, key=lambda g: (g not in found, -len(g), g))[: len(grams) - shared + 1])
+    return list(found)
+
+
+def _plain(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))
 
 
 def _bigrams(unit: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(F.translate(unit, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
-    return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+    words = F.split(F.trim(_plain(unit)), " ")
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.get(F.transform(F.array(words), pairs), F.lit(0)))
 
 
 def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, dice (the best unit's) and n_units (distinct units) of each text and licence found in it."""
     text = F.col("text")
-    plain = F.translate(text, UPPER, LOWER)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    passed = F.lit(False)
-    for word in anchors(templates, least):
-        passed = passed | plain.contains(word)
+    words = [f" {g} " for g in anchors(templates, least)]
+    # lambdas' variables here and below, so that what they stand for is made once and not for each use
+    passed = F.exists(F.array(F.concat(F.lit(" "), _plain(text), F.lit(" "))), lambda plain: reduce(or_, (plain.contains(w) for w in words)))
     lines = F.split(text, "\n")
     sentences = F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n"), "\n")
     units = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), lines, sentences))
@@ -101,12 +102,15 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: list[tuple[
         return F.aggregate(scored, F.struct(F.lit(0.0).alias("dice"), F.lit("").alias("license")), lambda a, b: F.when(b["dice"] > a["dice"], b).otherwise(a))
 
     sized = lambda u: (F.size(u) >= ratio * min(sizes)) & (ratio * F.size(u) <= max(sizes))
-    found = rows.where(passed).withColumn("units", F.filter(F.transform(units, _bigrams), sized))
-    found = found.withColumn("hits", F.filter(F.transform("units", best), lambda h: h["dice"] >= least))
-    names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["license"])))
-    one = lambda name: F.filter("hits", lambda h: h["license"] == name)
-    each = F.transform(names, lambda name: F.struct(name.alias("license"), F.array_max(F.transform(one(name), lambda h: h["dice"])).alias("dice"), F.size(one(name)).cast("long").alias("n_units")))
-    return found.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.license", F.round("x.dice", 9).alias("dice"), "x.n_units")
+    hits = F.filter(F.transform(F.filter(F.transform(units, _bigrams), sized), best), lambda h: h["dice"] >= least)
+
+    def each(found: Column) -> Column:
+        one = lambda name: F.filter(found, lambda h: h["license"] == name)
+        names = F.array_sort(F.array_distinct(F.transform(found, lambda h: h["license"])))
+        return F.transform(names, lambda name: F.struct(name.alias("license"), F.array_max(F.transform(one(name), lambda h: h["dice"])).alias("dice"), F.size(one(name)).cast("long").alias("n_units")))
+
+    found = rows.where(passed).select("doc_id", F.explode(F.flatten(F.transform(F.array(hits), each))).alias("x"))
+    return found.select("doc_id", "x.license", F.round("x.dice", 9).alias("dice"), "x.n_units")
 
 
 def oracle_sql(least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> str:
