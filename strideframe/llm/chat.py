@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The template's control strings.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -80,6 +82,7 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def chat_examples(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", assistant: str = "assistant") -> DataFrame:
     """The examples (``EXAMPLES``); those of a conversation are neighbours in a task, in order."""
+    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def expand(values: Iterator[tuple]) -> Iterator[tuple]:

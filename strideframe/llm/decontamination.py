@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import split_batch, with_fields
+from .common import small_batches, split_batch, with_fields
 
 #: Bytes that aren't part of a word, and the letters that are lower-cased.
 _OUTSIDE = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -117,6 +117,7 @@ def _shards(benchmark: DataFrame, n: int, item_col: str, text_col: str, shard_wo
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = 2_000_000) -> DataFrame:
     """``docs`` with the columns of ``HITS``, which take the place of columns of these names: word counts, items with occurring windows (sorted as strings), and hit spans in words."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*(f.name for f in StructType.fromDDL(HITS) if f.name != text_col))
     spark, out, schema = docs.sparkSession, docs, with_fields(docs, HITS)
     arrow = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])

@@ -29,18 +29,20 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import split_batch
+from .common import small_batches, split_batch, with_fields
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+@cache
 def _letters() -> np.ndarray:
     """Which characters are letters, by code point."""
     return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
@@ -119,6 +121,7 @@ class LanguageFilter:
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 4, sample: int = 2000, sample_chars: int = 20_000, grams: int = 20_000, least: int = 3, typical: float = 0.2, bits: int = 20, hashes: int = 3) -> LanguageFilter:
     """A filter from labelled rows.  ``sample`` and ``sample_chars`` bound what is read of a language, ``grams`` what is kept."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -149,8 +152,6 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         yield from out()
 
     counts = taken.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
     total = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     kept = total.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("n") >= least) & (F.col("rate") >= typical * F.col("most")))
     top = kept.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), F.asc("gram")))).where(F.col("k") <= grams)
@@ -162,10 +163,11 @@ PREDICTED = "lang_pred string, score double"
 
 
 def identify(docs: DataFrame, model: LanguageFilter, *, n: int = 4, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` of each whole text."""
+    """``docs`` with ``lang_pred`` and ``score`` of each whole text; they take the place of columns of these names."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     where = docs.columns.index(text_col)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, filter_ = Grams(n), sent.value
@@ -174,7 +176,7 @@ def identify(docs: DataFrame, model: LanguageFilter, *, n: int = 4, text_col: st
                 found = [filter_.predict(made.of(x)) for x in part.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*(f"c{i}" for i in range(part.num_columns)), "lang_pred", "score"])
 
-    return docs.mapInArrow(run, fields + PREDICTED)
+    return docs.mapInArrow(run, with_fields(docs, PREDICTED))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

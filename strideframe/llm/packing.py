@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_batch
+from .common import small_batches, split_batch
 from .tokens import Encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -79,6 +79,7 @@ def near_equal_windows(sizes: list[int], capacity: int) -> np.ndarray:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: int = 4096, windows: int = 192, spare: float = 0.004, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (``PIECES``; ids as little-endian unsigned 32-bit integers).  ``windows``: of a bucket; ``spare``: the share of a bucket that is left free for the windows to differ."""
+    small_batches(docs.sparkSession)
     full = int(windows * capacity * (1 - spare))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
             return batch
 
         for batch in batches:
-            for part in split_batch(batch, 12 << 20):
+            for part in split_batch(batch, 6 << 20):
                 ids, ends = encoder.encode_all(part.column(1))
                 ids = np.insert(ids, ends[1:], end_id).astype("<u4")
                 ends = ends + np.arange(len(ends))

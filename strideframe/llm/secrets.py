@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_batch, with_fields
+from .common import small_batches, split_batch, with_fields
 
 #: The kinds in their order, and the patterns of the strong spans.
 KINDS = ("assign", "access", "hex", "secret_part", "id_part")
@@ -101,6 +101,7 @@ def scan_text(text: str | None, scope: int = 400) -> list[tuple[int, int, int]]:
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", out_col: str = "secret_spans", scope: int = 400) -> DataFrame:
     """``docs`` with the spans of each whole text, by start, then kind, in ``out_col``, which takes the place of a column of that name."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(out_col)
     where = docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -130,6 +131,7 @@ def cut_spans(text: str | None, spans: list[tuple[int, int, int]], mask: str = "
 
 def mask_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", scope: int = 400) -> DataFrame:
     """``docs`` with all spans of the text column masked; other columns stay."""
+    small_batches(docs.sparkSession)
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

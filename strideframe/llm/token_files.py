@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import split_batch, stage, work_path
+from .common import small_batches, split_batch, stage, work_path
 from .tokens import Encoder
 
 INDEX = "doc_id long, shard int, file string, at long, n_tokens long"
@@ -77,6 +77,7 @@ class _Writer:
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, *, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, per_batch: int = 64) -> DataFrame:
     """Write the ids of all texts, each followed by ``end_id``, and return the index, ordered within files.  ``out``: a folder's URI; None is a new one in the shared folder."""
+    small_batches(docs.sparkSession)
     folder = out or work_path(docs.sparkSession, "token-files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +86,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, *, out: str
         shard, done, writer = TaskContext.get().partitionId(), 0, None
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
-            for part in split_batch(batch, 12 << 20):
+            for part in split_batch(batch, 6 << 20):
                 if writer is None:
                     store, path = fs.FileSystem.from_uri(folder)
                     store.create_dir(path, recursive=True)

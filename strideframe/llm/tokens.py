@@ -71,7 +71,7 @@ class _Kept(dict):
 class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers; None counts as an empty text."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 150_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.by_units = _splits_at_blanks(path)
@@ -112,10 +112,13 @@ class Encoder:
             made, flat = [self._unit(x) for x in kinds.dictionary.to_pylist()], kinds.indices.to_numpy()
         size = np.fromiter(map(len, made), np.int64, len(made)) >> 2
         ids, first = np.frombuffer(b"".join(made), "<u4"), np.cumsum(size) - size
-        count_ = size[flat]
+        each = size[flat]
         at = np.zeros(len(flat) + 1, np.int64)
-        np.cumsum(count_, out=at[1:])
-        return ids[np.arange(at[-1]) + np.repeat(first[flat] - at[:-1], count_)], at[ends]
+        np.cumsum(each, out=at[1:])
+        kind = np.int32 if at[-1] < 1 << 31 else np.int64  # half the memory of the longest arrays here
+        place = np.repeat((first[flat] - at[:-1]).astype(kind), each)
+        place += np.arange(at[-1], dtype=kind)
+        return ids[place], at[ends]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.large_string()))[0]
