@@ -126,7 +126,7 @@ def source_nodes(t):
     return _snapped(t).agg(F.countDistinct("node_id").alias("source_nodes"), F.count("*").alias("amenities"))
 
 
-# The reference origins of the reachability queries: nodes of even ids and, as cached, of ids divisible by 3.
+# Origins in the twins of the distance queries, which themselves search from all nodes, and of the missing origins: nodes of even ids and, as cached, of ids divisible by 3.
 EVEN = "SELECT node_id AS origin FROM nodes WHERE node_id % 2 = 0"
 BY_THREE = "SELECT node_id AS origin FROM nodes WHERE node_id % 3 = 0"
 
@@ -142,13 +142,13 @@ def reach_counts_500m(t):
 
 @query(sql("SELECT origin, node_id, round(d, 3) AS distance_m FROM reached", "hops", "nodes", origins=EVEN, reached=REACHED))
 def reach_distances_tiles(t):
-    found = reach.reach_tiles(t.nodes.where("node_id % 2 = 0").select("node_id"), _edges(t), t.nodes, CUTOFF)
+    found = reach.reach_tiles(t.nodes.select("node_id"), _edges(t), t.nodes, CUTOFF)
     return found.select("origin", "node_id", F.round("distance_m", 3).alias("distance_m"))
 
 
 @query(sql("SELECT origin, node_id, round(d, 3) AS distance_m FROM reached", "hops", "nodes", origins=EVEN, reached=REACHED))
 def reach_distances_rounds(t):
-    found = reach.reach_rounds(t.nodes.where("node_id % 2 = 0").select("node_id"), _edges(t), CUTOFF)
+    found = reach.reach_rounds(t.nodes.select("node_id"), _edges(t), CUTOFF)
     return found.select("origin", "node_id", F.round("distance_m", 3).alias("distance_m"))
 
 
