@@ -8,9 +8,14 @@ first: for a coefficient of t the smaller set has at least t / (2 - t) of the
 larger one's bigrams, so other templates can't reach it.  The best template of a
 unit counts, from ``least`` on; ties go to the licence that sorts first.
 
+Templates are the notices below and the standard texts and file headers in
+``license_texts``, several a licence.
+
 Texts are read once and nothing is shuffled: a text that lacks all anchors is
 passed over.  To reach t a unit must share all but a few of a template's bigrams,
-so one of any few more occurs in it; these are the anchors.
+so one of any few more occurs in it; these are the anchors of a short template.
+A long one's are words that so many of its bigrams hold that a unit without any
+of these words lacks too many.
 
 Defined results: a null or empty text has no licence and no row; a unit of one
 word has no bigram; rows that repeat an id are scanned each on its own; units
@@ -22,7 +27,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import reduce
+from importlib.resources import files
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +60,15 @@ TEMPLATES = [
 ]
 
 
+#: Standard texts and file headers, whole: files named by licence and part.
+TEXTS = [(f.name.split("--")[0], f.read_text("utf-8")) for f in sorted((files(__package__) / "license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")]
+
+#: Templates of more bigrams than this have words as anchors.
+LONG = 40
+#: Words of any English text, taken as anchors last.
+COMMON = frozenset("1 2 a all also an and any are as at be but by can do does each either for from general has have however if in is it its may more must new no not of on one only or other otherwise s see so some such that the their them then these they this those to under used was we when which who will with without you your 0".split())
+
+
 def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.translate(str.maketrans(UPPER, LOWER)))
 
@@ -72,6 +88,21 @@ def anchors(templates: list[tuple[str, str]], least: float) -> list[str]:
     return list(found)
 
 
+def word_anchors(templates: list[tuple[str, str]], least: float) -> list[str]:
+    """Words of which every unit that reaches ``least`` with some template has one: of each template words that together are in one more bigram than a unit may lack, those in many bigrams first, common ones last."""
+    found: list[str] = []
+    open_ = []  # of each template that needs more words: the bigrams without one, and how many a unit may lack
+    for _, text in templates:
+        grams = [g.split(" ") for g in bigrams_of(text)]
+        open_.append((grams, math.ceil(len(grams) * least / (2 - least) - 1e-9)))
+    while open_:
+        counts = Counter(w for grams, _ in open_ for g in grams for w in set(g))
+        word = min(counts, key=lambda w: (w in COMMON, -counts[w], w))
+        found.append(word)
+        open_ = [(left, shared) for grams, shared in open_ if len(left := [g for g in grams if word not in g]) >= shared]
+    return found
+
+
 def _plain(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))
 
@@ -82,17 +113,22 @@ def _bigrams(unit: Column) -> Column:
     return F.array_distinct(F.get(F.transform(F.array(words), pairs), F.lit(0)))
 
 
-def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES + TEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, dice (the best unit's) and n_units (distinct units) of each text and licence found in it."""
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    words = [f" {g} " for g in anchors(templates, least)]
+    short = [t for t in templates if len(bigrams_of(t[1])) <= LONG]
+    long = [t for t in templates if len(bigrams_of(t[1])) > LONG]
+    pairs = [f" {g} " for g in anchors(short, least)]
+    has = lambda words, chosen: F.arrays_overlap(words, F.split(F.lit(" ".join(word_anchors(chosen, least))), " "))
     # lambdas' variables here and below, so that what they stand for is made once and not for each use
-    passed = F.exists(F.array(F.concat(F.lit(" "), _plain(text), F.lit(" "))), lambda plain: reduce(or_, (plain.contains(w) for w in words)))
+    paired = lambda plain: reduce(or_, (plain.contains(p) for p in pairs), F.lit(False))
+    worded = lambda plain: F.exists(F.array(F.split(plain, " ")), lambda words: has(words, long) | (has(words, short) & paired(plain)))
+    passed = F.exists(F.array(F.concat(F.lit(" "), _plain(text), F.lit(" "))), worded)
     lines = F.split(text, "\n")
     sentences = F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n"), "\n")
     units = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), lines, sentences))
-    known = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, bigrams_of(words))).alias("bigrams")) for name, words in sorted(templates)))
+    known = F.array(*(F.struct(F.lit(name).alias("license"), F.split(F.lit("|".join(bigrams_of(words))), "[|]").alias("bigrams")) for name, words in sorted(templates)))
     sizes = [len(bigrams_of(words)) for _, words in templates]
     ratio = least / (2 - least) - 1e-9  # a little less, for rounding
 
