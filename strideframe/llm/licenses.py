@@ -1,7 +1,8 @@
 """License scans by Dice coefficient over word bigrams, in DataFrame operations only.
 
 A text's units are itself, its paragraphs (blank lines between), its lines and
-its sentences.  A unit is normalised (A-Z lower-cased, runs of other characters
+its sentences, both those of each line and those that go on over the line breaks
+of a paragraph; CRLF and CR are line breaks, too.  A unit is normalised (A-Z lower-cased, runs of other characters
 than a-z and 0-9 are one blank) and compared with every licence template: twice
 the shared distinct word bigrams over the sum of both counts.  Size bounds prune
 first: for a coefficient of t the smaller set has at least t / (2 - t) of the
@@ -125,9 +126,11 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: list[tuple[
     paired = lambda plain: reduce(or_, (plain.contains(p) for p in pairs), F.lit(False))
     worded = lambda plain: F.exists(F.array(F.split(plain, " ")), lambda words: has(words, long) | (has(words, short) & paired(plain)))
     passed = F.exists(F.array(F.concat(F.lit(" "), _plain(text), F.lit(" "))), worded)
-    lines = F.split(text, "\n")
-    sentences = F.split(F.regexp_replace(text, r"([.!?;:])[ \t]+", "$1\n"), "\n")
-    units = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), lines, sentences))
+    ends = lambda x: F.split(F.regexp_replace(x, r"([.!?;:])[ \t]+", "$1\n"), "\n")
+    paragraphs = lambda x: F.split(x, r"\n[ \t]*\n")
+    wrapped = lambda x: F.flatten(F.transform(paragraphs(x), lambda p: ends(F.translate(p, "\n", " "))))
+    units_of = lambda x: F.array_distinct(F.concat(F.array(x), paragraphs(x), F.split(x, "\n"), ends(x), wrapped(x)))
+    units = F.flatten(F.transform(F.array(F.regexp_replace(text, "\r\n?", "\n")), units_of))
     known = F.array(*(F.struct(F.lit(name).alias("license"), F.split(F.lit("|".join(bigrams_of(words))), "[|]").alias("bigrams")) for name, words in sorted(templates)))
     sizes = [len(bigrams_of(words)) for _, words in templates]
     ratio = least / (2 - least) - 1e-9  # a little less, for rounding

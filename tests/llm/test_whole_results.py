@@ -36,3 +36,10 @@ def test_word_anchors_miss_no_unit_that_could_pass():
         for _, text in licenses.TEXTS:
             grams = licenses.bigrams_of(text)
             assert sum(not found & set(g.split(" ")) for g in grams) < math.ceil(len(grams) * least / (2 - least) - 1e-9)
+
+
+def test_wrapped_notices_and_crlf_paragraphs_are_found(docs):
+    notice = "This work is licensed under the GNU General\nPublic License, version 3."
+    inside = f"{FILLER * 3}\n{FILLER}{notice} {FILLER}\n{FILLER * 3}"
+    rows = [(1, inside), (2, inside.replace("\n", "\r\n")), (3, f"{FILLER}\r\n\r\n{textwrap.fill(MIT, 70)}\r\n\r\n{FILLER}".replace("\r\n", "\n").replace("\n", "\r\n"))]
+    assert names(docs, rows) == {(1, "GPL-3.0"), (2, "GPL-3.0"), (3, "MIT")}
