@@ -344,10 +344,7 @@ def import_readiness(t):
 
 @query(sql("SELECT category, osm_type, osm_id, k FROM (SELECT *, row_number() OVER (ORDER BY category, osm_type, osm_id) AS k FROM amenities) WHERE k <= 25", "amenities"))
 def amenity_rows_ordered(t):
-    from pyspark.sql import Window
-
-    top = scored_grid.amenities(t.features).select("category", "osm_type", "osm_id").orderBy("category", "osm_type", "osm_id").limit(25)
-    return top.withColumn("k", F.row_number().over(Window.orderBy("category", "osm_type", "osm_id")).cast("long"))
+    return publishing.numbered(scored_grid.amenities(t.features).select("category", "osm_type", "osm_id"), "category", "osm_type", "osm_id")
 
 
 @query("SELECT event_id, CAST(coalesce(json_extract(props, '$.k'), '0') AS INTEGER) AS k, CAST(coalesce(json_extract(props, '$.missing'), '0') AS INTEGER) AS missing FROM events")

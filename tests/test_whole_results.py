@@ -20,3 +20,10 @@ def test_all_nodes_are_origins(spark, duck, small, name):
     whole = sql("SELECT origin, node_id, round(d, 3) AS distance_m FROM reached", "hops", "nodes", origins="SELECT node_id AS origin FROM nodes", reached=REACHED)
     rows = sorted(map(tuple, catalog.QUERIES[name](spark, small).select("origin", "node_id", "distance_m").collect()))
     assert rows == sorted(duck.sql(whole).fetchall()) and any(r[0] % 2 for r in rows)
+
+
+def test_all_amenities_have_their_position(spark, duck, small):
+    whole = sql("SELECT category, osm_type, osm_id, row_number() OVER (ORDER BY category, osm_type, osm_id) AS k FROM amenities", "amenities")
+    found = catalog.QUERIES["amenity_rows_ordered"](spark, small).select("category", "osm_type", "osm_id", "k")
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(duck.sql(whole).fetchall()) and len(rows) > 25 and dict(found.dtypes)["k"] == "bigint"
