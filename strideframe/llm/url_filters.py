@@ -6,7 +6,9 @@ counts from then on.  The tree grows from the root, all hosts at once: at each
 level a host's branch keeps its literal segment only if it is frequent and the
 share of bad labels in it differs from that of its siblings together by more
 than sampling explains; the others (rare, or statistically similar) merge into
-one wildcard branch ``*``.  Segments beyond ``depth`` levels are one ``**``.
+one wildcard branch ``*``.  The tree is as deep as the deepest form: forms that
+have ended leave the loop, and so do those alone in their branch, as a branch
+without siblings keeps its name on every level.
 
 A template is rejected where its smoothed labelled purity, the bad share drawn
 towards its host's share and this towards that of all labels, reaches
@@ -53,41 +55,49 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return chain([h + p for h, p, _ in ordered]), chain([v for *_, v in ordered])
 
 
-def _form(path: Column, depth: int) -> Column:
-    """Segments with what is variable by form replaced; those beyond ``depth`` are one."""
+def _form(path: Column) -> Column:
+    """Segments with what is variable by form replaced."""
     plain = F.regexp_replace(path, r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|\b[0-9a-f]{16,}\b", "%")
-    parts = F.split(F.regexp_replace(F.regexp_replace(plain, r"^/", ""), r"[0-9]+", "#"), "/")
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
-
-
-def template_tree(forms: DataFrame, *, depth: int, least: int, z: float) -> DataFrame:
-    """``forms`` (host, form, n, labelled, bad; a row for each host and form) with ``template``."""
-    now = forms.withColumn("template", F.array().cast("array<string>"))
-    levels = min(depth + 1, forms.agg(F.max(F.size("form"))).first()[0] or 0)
-    for level in range(levels):
+    return F.split(F.regexp_replace(F.regexp_replace(plain, r"^/", ""), r"[0-9]+", "#"), "/")
+
+
+def template_tree(forms: DataFrame, *, least: int, z: float, depth: int | None = None) -> DataFrame:
+    """``forms`` (host, form, n, labelled, bad; a row for each host and form) with ``template``.  ``depth``: levels at most beyond the first, all by default."""
+    now, done, level = forms.withColumn("template", F.array().cast("array<string>")).withColumn("alone", F.lit(False)), [], 0
+    while True:
+        ended = F.col("alone") | (F.size("form") <= level)
+        rest = F.slice("form", level + 1, F.greatest(F.size("form") - level, F.lit(0)))
+        done.append(now.where(ended).select(*forms.columns, F.concat("template", rest).alias("template")))
+        now = now.where(~ended)
+        if now.isEmpty() or (depth is not None and level > depth):
+            break
         here = now.withColumn("at", F.concat_ws("/", "template")).withColumn("segment", F.get("form", F.lit(level)))
-        branches = here.where("segment is not null").groupBy("host", "at", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+        branches = here.groupBy("host", "at", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.count("*").alias("forms"))
         parents = branches.groupBy("host", "at").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
         differs = F.abs(F.col("bad") - share * F.col("labelled")) > z * F.sqrt(share * (1 - share) * F.col("labelled"))
         judged = branches.join(parents, ["host", "at"]).withColumn("literal", (F.col("n") >= least) & differs)
         merged = judged.where(~F.col("literal")).groupBy("host", "at").agg(F.count("*").alias("alike"))
-        kept = judged.select("host", "at", "segment", "literal").join(merged, ["host", "at"], "left")
+        kept = judged.select("host", "at", "segment", "literal", "forms").join(merged, ["host", "at"], "left")
         # a branch with none to merge with keeps its name
-        kept = kept.select("host", "at", "segment", F.when(F.col("literal") | (F.col("alike") == 1), F.col("segment")).otherwise("*").alias("name"))
-        grown = here.join(kept, ["host", "at", "segment"], "left")
-        now = stage(grown.select(*forms.columns, F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name"))).alias("template")), f"tree-{level}")
-    return now.withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "template")))
+        kept = kept.select("host", "at", "segment", "forms", F.when(F.col("literal") | (F.col("alike") == 1), F.col("segment")).otherwise("*").alias("name"))
+        grown = here.join(kept, ["host", "at", "segment"])
+        # the only form of a branch; one named as merged branches are may be theirs
+        alone = (F.col("forms") == 1) & (F.col("name") != "*")
+        now = stage(grown.select(*forms.columns, F.concat("template", F.array("name")).alias("template"), alone.alias("alone")), f"tree-{level}")
+        level += 1
+    done.append(now.select(*forms.columns, "template"))
+    return reduce(DataFrame.unionByName, done).withColumn("template", F.concat(F.lit("/"), F.concat_ws("/", "template")))
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", label_col: str | None = None, depth: int = 6, least: int = 20, z: float = 2.6, prior: float = 4.0, reject: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", label_col: str | None = None, least: int = 20, z: float = 2.6, prior: float = 4.0, reject: float = 0.5) -> DataFrame:
     """page id, host, path, rule, verdict, template and bad_share of each url.  ``label_col``: 1 for bad, 0 for good, null for none.  ``rules`` are a short list that becomes part of the expression."""
     host, path = host_and_path(url_col)
     label = F.col(label_col).cast("long") if label_col else F.lit(None).cast("long")
-    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), label.alias("label")).withColumn("form", _form(F.col("path"), depth))
+    rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), label.alias("label")).withColumn("form", _form(F.col("path")))
     forms = rows.groupBy("host", "form").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
     forms = stage(forms, "forms")
-    tree = template_tree(forms, depth=depth, least=least, z=z)
+    tree = stage(template_tree(forms, least=least, z=z), "tree")
     total = forms.agg(F.coalesce((F.sum("bad") / F.nullif(F.sum("labelled"), F.lit(0))), F.lit(0.0))).first()[0]
     hosts = forms.groupBy("host").agg(((F.sum("bad") + prior * F.lit(total)) / (F.sum("labelled") + prior)).alias("host_share"))
     templates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).join(hosts, "host")

@@ -1,11 +1,13 @@
 """Operators do their whole job: compared with brute force or known answers of this file, not with the twins."""
 
 import math
+import random
 import textwrap
 
 import pytest
 
-from strideframe.llm import licenses
+from strideframe.llm import licenses, url_filters
+from tests.llm.test_vectors_and_urls import brute_tree
 
 FILLER = "The quick survey of the valley went on for days, and the notes were kept in a drawer. "
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
@@ -43,3 +45,26 @@ def test_wrapped_notices_and_crlf_paragraphs_are_found(docs):
     inside = f"{FILLER * 3}\n{FILLER}{notice} {FILLER}\n{FILLER * 3}"
     rows = [(1, inside), (2, inside.replace("\n", "\r\n")), (3, f"{FILLER}\r\n\r\n{textwrap.fill(MIT, 70)}\r\n\r\n{FILLER}".replace("\r\n", "\n").replace("\n", "\r\n"))]
     assert names(docs, rows) == {(1, "GPL-3.0"), (2, "GPL-3.0"), (3, "MIT")}
+
+
+def test_urls_that_differ_from_the_seventh_segment_on(spark):
+    deep = "/a/b/c/d/e/f"
+    rows = [(i, f"http://h.com{deep}/spam/{i}", 1) for i in range(60)] + [(100 + i, f"http://h.com{deep}/news/{i}", 0) for i in range(200)] + [(400, f"http://h.com{deep}/spam/9999", None), (401, f"http://h.com{deep}/news/9999", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, label int")
+    got = {r["page_id"]: r for r in url_filters.filter_urls(frame, [], label_col="label").collect()}
+    assert (got[400]["verdict"], got[401]["verdict"]) == ("block", "allow") and len(got) == len(rows)
+    assert got[400]["template"] == f"{deep}/spam/#"
+
+
+def test_deep_tree_is_the_brute_force(spark):
+    rng = random.Random(7)
+    rows = {}
+    for _ in range(500):
+        form = tuple(rng.choice("xy*" if k % 3 else "ab") for k in range(rng.randrange(1, 12)))
+        bad = form[7:8] == ("x",)
+        rows[rng.choice(["a.com", "b.org"]), form] = (n := rng.randrange(1, 30), n, n if bad else 0)
+    rows["c.net", ("one", "deep", "form", *"abcdefghij")] = (3, 2, 1)
+    listed = [(h, list(f), *v) for (h, f), v in rows.items()]
+    frame = spark.createDataFrame(listed, "host string, form array<string>, n long, labelled long, bad long")
+    got = {(r["host"], tuple(r["form"])): r["template"] for r in url_filters.template_tree(frame, least=20, z=2.6).collect()}
+    assert got == brute_tree(listed, None, 20, 2.6)
