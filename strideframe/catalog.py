@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.config import CAPS, CATEGORIES, SCORE_COLORS, expand_bbox, parse_bbox
+from strideframe.config import AMENITY_ZOOM, CAPS, CATEGORIES, SCORE_COLORS, TILE_ZOOMS, expand_bbox, parse_bbox
 from strideframe.functions import geo, scoring
 from strideframe.operators import graph, grid, reach, snap, tiles
 from strideframe.operators.polygon import in_corridor, inside_expr
@@ -366,7 +366,7 @@ def _tile_sql(lon: str, lat: str) -> tuple[str, str]:
 
 @query(sql("SELECT z, {} AS x, {} AS y, osm_type, osm_id FROM amenities, (SELECT unnest([9, 12, 14]) AS z)".format(*_tile_sql("lon", "lat")), "amenities"))
 def tile_assign_amenities(t):
-    return tiles.assign_points(scored_grid.amenities(t.features), (9, 14)).where("z IN (9, 12, 14)").select("z", "x", "y", "osm_type", "osm_id")
+    return tiles.assign_points(scored_grid.amenities(t.features), (AMENITY_ZOOM, TILE_ZOOMS[1])).select("z", "x", "y", "osm_type", "osm_id")
 
 
 def _corner_sql(x: str, y: str) -> str:
@@ -422,7 +422,7 @@ def mvt_tiles(t):
     """Both layers' tiles with their ids and sizes."""
     points = scored_grid.amenities(t.features).withColumn("source", F.lit("osm_local_pbf"))
     cells = _boxes(_scored(t).withColumn("size", F.col("resolution_m")))
-    made = tiles.joined_tiles(tiles.grid_tiles(cells, (14, 15), resolutions=False), tiles.amenity_tiles(points, (14, 15)))
+    made = tiles.joined_tiles(tiles.grid_tiles(cells, (TILE_ZOOMS[0], 15), resolutions=False), tiles.amenity_tiles(points, (AMENITY_ZOOM, 15)))
     return made.select("z", "x", "y", "tile_id", F.length("mvt").alias("bytes"))
 
 

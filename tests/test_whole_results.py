@@ -27,3 +27,12 @@ def test_all_amenities_have_their_position(spark, duck, small):
     found = catalog.QUERIES["amenity_rows_ordered"](spark, small).select("category", "osm_type", "osm_id", "k")
     rows = sorted(map(tuple, found.collect()))
     assert rows == sorted(duck.sql(whole).fetchall()) and len(rows) > 25 and dict(found.dtypes)["k"] == "bigint"
+
+
+def test_all_zooms_are_tiled(spark, duck, small):
+    x, y = catalog._tile_sql("lon", "lat")
+    whole = sql(f"SELECT z, {x} AS x, {y} AS y, osm_type, osm_id FROM amenities, (SELECT unnest(range(9, 15)) AS z)", "amenities")
+    wanted = sorted(duck.sql(whole).fetchall())
+    assert sorted(map(tuple, catalog.QUERIES["tile_assign_amenities"](spark, small).select("z", "x", "y", "osm_type", "osm_id").collect())) == wanted
+    assert {tuple(r)[:3] for r in catalog.QUERIES["tile_ids"](spark, small).select("z", "x", "y").collect()} == {r[:3] for r in wanted}
+    assert {r["z"] for r in catalog.QUERIES["mvt_tiles"](spark, small).collect()} >= set(range(5, 15))
