@@ -37,8 +37,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Any text with an assignment has one of these, in lower case.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-WEAK_ID = re.compile(r"""(client_?id|account_?id|key_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.ASCII | re.IGNORECASE)
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\b(?:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+", re.ASCII)
+WEAK_ID = re.compile(r"""(client_?id|account_?id|key_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE)
+ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![A-Za-z0-9])(?:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+", re.ASCII | re.IGNORECASE)
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_=-]{20,}", re.ASCII)
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -70,7 +70,8 @@ class _Intervals:
 
 def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int) -> list[tuple[int, int, int]]:
     """Weak parts whose complementary parts lie within ``scope`` code points."""
-    if "@" not in text and "://" not in text and "host" not in text and "server" not in text and "endpoint" not in text:
+    low = text.lower()
+    if "@" not in low and "://" not in low and "host" not in low and "server" not in low and "endpoint" not in low:
         return []
     ends = [m.span() for m in ENDPOINT.finditer(text)]
     if not ends:
@@ -80,7 +81,6 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int) -> lis
     if not ids:
         return []
     taken = _Intervals([(s, e) for s, _, e in base] + ends)
-    low = text.lower()
     weak = [m.span() for m in MIXED.finditer(text)]
     if any(w in low for w in ASSIGN_WORDS):
         weak += [m.span() for m in ASSIGN.finditer(text) if len(m[2]) < 8]

@@ -6,7 +6,7 @@ import textwrap
 
 import pytest
 
-from strideframe.llm import licenses, url_filters
+from strideframe.llm import licenses, secrets, url_filters
 from tests.llm.test_vectors_and_urls import brute_tree
 
 FILLER = "The quick survey of the valley went on for days, and the notes were kept in a drawer. "
@@ -68,3 +68,13 @@ def test_deep_tree_is_the_brute_force(spark):
     frame = spark.createDataFrame(listed, "host string, form array<string>, n long, labelled long, bad long")
     got = {(r["host"], tuple(r["form"])): r["template"] for r in url_filters.template_tree(frame, least=20, z=2.6).collect()}
     assert got == brute_tree(listed, None, 20, 2.6)
+
+
+def test_linked_parts_in_environment_style_and_long_identifiers():
+    text = "DB_HOST=10.0.0.5 DB_USER=app DB_PASSWORD=hunter2"
+    assert [(secrets.KINDS[k], text[s:e]) for s, k, e in secrets.scan_text(text)] == [("id_part", "USER=app"), ("secret_part", "PASSWORD=hunter2")]
+    assert secrets.cut_spans(text, secrets.scan_text(text)) == "DB_HOST=10.0.0.5 DB_[SECRET] DB_[SECRET]"
+    text = f"server: x.org user={'u' * 90} password=hunter2"
+    assert secrets.cut_spans(text, secrets.scan_text(text)) == "server: x.org [SECRET] [SECRET]"
+    text = "user=app password=hunter2 ghost=10.0.0.5"
+    assert secrets.scan_text(text) == []
