@@ -447,14 +447,16 @@ def link_documents(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4
         yield from _edge_batches(found(g) for g in _groups(batches))
 
     links = compared.repartition(F.col("item")).sortWithinPartitions("item", "side", "node").mapInArrow(exact, EDGES)
-    repeated = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a").join(members, "doc_id").select("a", F.col("node").alias("b"))
+    # rows that repeat an id; the empty text links with nothing
+    filled = members.join(features.where("size = 0").select("node"), "node", "left_anti")
+    repeated = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a").join(filled, "doc_id").select("a", F.col("node").alias("b"))
     joined = components(links.unionByName(repeated))
 
     # documents: their node's component, named by its smallest id
     sized = members.join(features.select("node", "size"), "node").join(joined.select(F.col("id").alias("node"), "component"), "node", "left")
     named = stage(sized.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component")), "named")
-    smallest = named.groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    out = named.join(smallest, "component")
+    smallest = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    out = named.join(smallest, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
 
 

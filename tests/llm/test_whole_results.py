@@ -6,7 +6,7 @@ import textwrap
 
 import pytest
 
-from strideframe.llm import licenses, secrets, url_filters
+from strideframe.llm import licenses, ngram_join, secrets, url_filters
 from tests.llm.test_vectors_and_urls import brute_tree
 
 FILLER = "The quick survey of the valley went on for days, and the notes were kept in a drawer. "
@@ -78,3 +78,11 @@ def test_linked_parts_in_environment_style_and_long_identifiers():
     assert secrets.cut_spans(text, secrets.scan_text(text)) == "server: x.org [SECRET] [SECRET]"
     text = "user=app password=hunter2 ghost=10.0.0.5"
     assert secrets.scan_text(text) == []
+
+
+def test_empty_rows_of_repeated_ids_link_with_nothing(docs):
+    one, two = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(1, ""), (2, None), (5, ""), (5, one), (6, ""), (6, two), (7, one), (8, " "), (8, two)]
+    got = {(r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in ngram_join.link_documents(docs(rows)).collect()}
+    assert got == {(1, False, 1), (2, False, 2), (5, False, 5), (5, True, 5), (6, False, 6), (6, True, 6), (7, True, 5), (8, False, 8), (8, True, 6)}
+    assert {r["doc_id"] for r in ngram_join.drop_near_duplicates(docs([r for r in rows if r[0] != 7])).collect()} == {1, 2, 5, 6}
