@@ -11,9 +11,10 @@ or weak) and an endpoint do.  The join is a sweep over sorted intervals that
 asks for existence, so no pair is ever listed and a text of many parts costs
 n log n.  All positions are code points, ends exclusive.
 
-Defined results: a null or empty text has no span; overlapping spans of
-different kinds all stay; rows that repeat an id are scanned each on its own;
-an empty table gives an empty result; other columns pass through.
+Defined results: a null or empty text has no span; a very long text is scanned
+whole, in time that grows with its length; overlapping spans of different kinds
+all stay; rows that repeat an id are scanned each on its own; an empty table
+gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -38,8 +39,17 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 WEAK_ID = re.compile(r"""(client_?id|account_?id|key_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII | re.IGNORECASE)
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![A-Za-z0-9])(?:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+", re.ASCII | re.IGNORECASE)
-MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_=-]{20,}", re.ASCII)
+#: Kinds of endpoints, each without overlaps.  Every pattern starts at the start of a run of its characters only and never gives any back, so a scan's time grows with the text.
+ENDPOINTS = (
+    re.compile(r"https?://[^\s\"'<>]++", re.ASCII | re.IGNORECASE),
+    re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", re.ASCII),
+    re.compile(r"(?<![A-Za-z0-9])(?:host|server|endpoint)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9.-]++", re.ASCII | re.IGNORECASE),
+)
+#: What a text with an endpoint of each kind holds, in lower case.
+ENDPOINT_MARKS = (("://",), ("@",), ("host", "server", "endpoint"))
+#: Runs of a token's characters; a weak token has a digit, a small and a capital letter among them.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+", re.ASCII)
+CLASSES = tuple(re.compile(x, re.ASCII) for x in ("[0-9]", "[a-z]", "[A-Z]"))
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
@@ -71,9 +81,7 @@ class _Intervals:
 def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int) -> list[tuple[int, int, int]]:
     """Weak parts whose complementary parts lie within ``scope`` code points."""
     low = text.lower()
-    if "@" not in low and "://" not in low and "host" not in low and "server" not in low and "endpoint" not in low:
-        return []
-    ends = [m.span() for m in ENDPOINT.finditer(text)]
+    ends = [m.span() for kind, marks in zip(ENDPOINTS, ENDPOINT_MARKS, strict=True) if any(x in low for x in marks) for m in kind.finditer(text)]
     if not ends:
         return []
     weak_ids = [m.span() for m in WEAK_ID.finditer(text)]
@@ -81,7 +89,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int) -> lis
     if not ids:
         return []
     taken = _Intervals([(s, e) for s, _, e in base] + ends)
-    weak = [m.span() for m in MIXED.finditer(text)]
+    weak = [m.span() for m in TOKEN.finditer(text) if all(c.search(m[0]) for c in CLASSES)]
     if any(w in low for w in ASSIGN_WORDS):
         weak += [m.span() for m in ASSIGN.finditer(text) if len(m[2]) < 8]
     weak = [x for x in weak if not taken.meets(*x)]
