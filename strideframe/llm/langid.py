@@ -13,15 +13,23 @@ has its bit, and corrects the count for the share of foreign n-grams that the
 filter lets pass (its bit slice's fill to the power ``hashes``).  The language
 with the highest corrected share wins; that share is the score.
 
-The model is fitted on a bounded sample: about ``sample`` training documents a
-language (an id's hash decides), at most ``sample_chars`` characters of each.
-It holds at most ``grams`` n-grams a language, so what is broadcast is bounded.
-Prediction reads whole texts.
+The model is fitted on a bounded sample of rows: about ``sample`` training
+documents a language (an id's hash decides), their whole texts.  All typical
+n-grams of these are kept and the filter has as many positions as they need, so
+what is collected and broadcast is bounded by the sample.  Prediction reads
+whole texts.
+
+``is_rejected`` is the decision of a filtering stage: a text is rejected if it
+has no letter, or if even the upper end of the interval around its share (Wilson's,
+which widens as n-grams get fewer) lies below ``floor``.  The rule is the same
+for texts of every length.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 rows without a language or text teach nothing; with no training row at all
 every text is ``und``; ties go to the language that sorts first; rows that
-repeat an id are predicted each on its own; other columns pass through.
+repeat an id are predicted each on its own; a very long text is read whole;
+more than ``most_languages`` different languages are an error, as a filter of
+them would no longer be small; other columns pass through.
 """
 
 from __future__ import annotations
@@ -85,8 +93,10 @@ class LanguageFilter:
     passes: np.ndarray
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray], bits: int, hashes: int) -> LanguageFilter:
+    def build(cls, grams: dict[str, np.ndarray], hashes: int, room: int = 8) -> LanguageFilter:
+        """At least ``room`` positions for each n-gram of the language with the most, a power of two."""
         languages = sorted(grams)
+        bits = max(10, (room * max(map(len, grams.values()), default=1) - 1).bit_length())
         masks = np.zeros((1 << bits, max(1, -(-len(languages) // 64))), np.uint64)
         for i, name in enumerate(languages):
             for at in cls.positions(grams[name], hashes, bits):
@@ -119,15 +129,17 @@ class LanguageFilter:
         return self.languages[best], float(shares[best])
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 4, sample: int = 2000, sample_chars: int = 20_000, grams: int = 20_000, least: int = 3, typical: float = 0.2, bits: int = 20, hashes: int = 3) -> LanguageFilter:
-    """A filter from labelled rows.  ``sample`` and ``sample_chars`` bound what is read of a language, ``grams`` what is kept."""
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 4, sample: int = 2000, grams: int | None = None, least: int = 1, typical: float = 0.2, hashes: int = 3, most_languages: int = 2048) -> LanguageFilter:
+    """A filter from labelled rows.  ``sample`` bounds the rows that are read of a language; ``grams`` (None: all) what is kept of it, the most frequent; ``least``: how often an n-gram must occur."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     if not sizes:
         return LanguageFilter([], np.zeros((1, 1), np.uint64), hashes, np.zeros(0))
     share = F.element_at(F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / v))))), F.col("lang"))
-    taken = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", F.substring("text", 1, sample_chars).alias("text"))
+    taken = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Grams(n)
@@ -154,18 +166,19 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     counts = taken.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     kept = total.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("n") >= least) & (F.col("rate") >= typical * F.col("most")))
-    top = kept.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), F.asc("gram")))).where(F.col("k") <= grams)
-    found = top.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # at most ``grams`` numbers a language
-    return LanguageFilter.build({r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in found}, bits, hashes)
+    if grams is not None:
+        kept = kept.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), F.asc("gram")))).where(F.col("k") <= grams)
+    found = kept.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # at most the n-grams of the sample
+    return LanguageFilter.build({r["lang"]: np.array(r["grams"], np.int64).view(np.uint64) for r in found}, hashes)
 
 
-PREDICTED = "lang_pred string, score double"
+PREDICTED = "lang_pred string, score double, n_grams long"
 
 
 def identify(docs: DataFrame, model: LanguageFilter, *, n: int = 4, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` of each whole text; they take the place of columns of these names."""
+    """``docs`` with ``lang_pred``, ``score`` and ``n_grams`` (how many the score rests on) of each whole text; they take the place of columns of these names."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "n_grams")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     where = docs.columns.index(text_col)
 
@@ -173,12 +186,21 @@ def identify(docs: DataFrame, model: LanguageFilter, *, n: int = 4, text_col: st
         made, filter_ = Grams(n), sent.value
         for batch in batches:
             for part in split_batch(batch):
-                found = [filter_.predict(made.of(x)) for x in part.column(where).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*(f"c{i}" for i in range(part.num_columns)), "lang_pred", "score"])
+                grams = [made.of(x) for x in part.column(where).to_pylist()]
+                found = [filter_.predict(x) for x in grams]
+                columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(list(map(len, grams)), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*(f"c{i}" for i in range(part.num_columns)), "lang_pred", "score", "n_grams"])
 
     return docs.mapInArrow(run, with_fields(docs, PREDICTED))
 
 
+def is_rejected(floor: float, z: float = 3.0) -> F.Column:
+    """Whether a row of ``identify`` is in none of the languages: without a letter, or with a share that is below ``floor`` by more than chance explains."""
+    share, n = F.col("score"), F.col("n_grams")
+    upper = (share + z * z / (2 * n) + z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (F.col("lang_pred") == "und") | (upper < floor)
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """crc32 of the id as text leaves remainder 2 by 4; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2

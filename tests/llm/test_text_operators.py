@@ -1,8 +1,13 @@
 import hashlib
 import math
+import random
 import re
+import unicodedata
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
 
 from strideframe.llm import chat, decontamination, langid, licenses, queries, secrets
 
@@ -42,6 +47,7 @@ def test_benchmark_of_whole_tables(spark, small):
         assert tuple(r)[1:4] == (n, hit, len(own)) and r["items_sha256"] == hashlib.sha256(",".join(own).encode()).hexdigest() and r["contaminated"] == (hit > 0 and 20 * hit >= n)
 
 
+ITEMS_WITHOUT_ID = [(None, "two three"), (None, "one two three"), (1, "two three")]
 ITEMS = [(1, "one two three"), (2, "Two, three"), (10, "ä b c d e f g h i j k l m n o"), (11, None), (12, "!!"), (2, "two three")]
 TEXTS = [(1, "zero one TWO three two_three"), (2, None), (3, ""), (4, "ä b c d e f g h i j k l m n"), (5, "b c d e f g h i j k l m"), (6, "two three " * 30), (6, "two three " * 30), (None, "two"), (7, "x " * 500 + "two three")]
 
@@ -57,6 +63,20 @@ def test_benchmark_of_odd_rows(spark, docs):
     assert decontamination.benchmark_hits(docs([]), bench).count() == 0
 
 
+def test_items_without_an_id_hit_and_are_one_null(spark, docs):
+    bench = spark.createDataFrame(ITEMS_WITHOUT_ID, "item_id long, text string")
+    for shard in (2_000_000, 3):
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontamination.benchmark_hits(docs([(1, "one two three"), (2, "two")]), bench, shard_words=shard).collect()}
+        assert got == {1: (3, [None, "1"]), 2: (0, [])}
+
+
+def test_one_shard_at_a_time(spark, docs):
+    bench = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(5)], "item_id long, text string")
+    out = decontamination.benchmark_hits(docs([(1, "a1 b1 c1 a4 b4 c4")]), bench, shard_words=3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # the others are written
+    assert out.first()["items"] == ["1", "4"]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 
 
@@ -118,6 +138,15 @@ def test_chat_of_odd_rows(spark):
     assert chat.read_back(chat.chat_examples(frame.limit(0))).count() == 0
 
 
+def test_roles_with_line_breaks_and_escapes(spark):
+    turns = [("us\ner", "hi"), ("a\\nb", "x\\ny\nz"), ("\n", ""), ("assistant", "\\n<|im_end|>\n")]
+    frame = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    examples = chat.chat_examples(frame).collect()
+    assert chat.parse_turns(examples[-1]["text"]) == turns
+    whole = chat.read_back(chat.chat_examples(frame)).first()
+    assert whole["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{t}\n" for a, t in turns).encode()).hexdigest() and whole["loss_chars"] == len(turns[-1][1])
+
+
 def test_chat_of_the_whole_table_matches_sql(spark, small):
     import duckdb
 
@@ -136,6 +165,69 @@ def test_language_of_held_out_rows(spark, small):
     assert sum(r["lang_pred"] == documents[r["doc_id"]]["lang"] for r in out) >= 0.97 * len(out)
 
 
+def grams_of(text, n=4):
+    """Plainly: n-grams of letters with blanks at borders only; a text of short words as a whole."""
+    letters = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower())
+    joined = " " + " ".join(letters.split()) + " "
+    if not letters.strip():
+        return []
+    found = [joined[k : k + n] for k in range(len(joined) - n + 1)]
+    return [g for g in found if " " not in g[1:-1]] or [joined]
+
+
+def test_language_filter_is_near_exact_sets(spark, small):
+    """Exact sets of n-grams, made plainly, against the bit-sliced filter with its correction, also when the filter is crowded."""
+    rows = [r for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r["text"] is not None]
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts[r["lang"]].update(grams_of(r["text"]))
+    rate = {lang: {g: k / sum(c.values()) for g, k in c.items()} for lang, c in counts.items()}
+    most = defaultdict(float)
+    for c in rate.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    kept = {lang: {g for g, x in c.items() if x >= 0.2 * most[g]} for lang, c in rate.items()}
+    train = spark.read.parquet(f"{small}/documents.parquet").where(~langid.held_out())
+    model = langid.fit(train, sample=10**9)
+    made = langid.Grams(4)
+    own = {lang: np.unique(np.concatenate([made.of(r["text"]) for r in rows if r["lang"] == lang])) for lang in kept}
+    crowded = langid.LanguageFilter.build(own, 2, 2)
+    assert model.languages == sorted(kept) and crowded.passes.max() > 0.01
+    for r in rows:
+        found = grams_of(r["text"])
+        if not found:
+            continue
+        exact = {lang: sum(g in kept[lang] for g in found) / len(found) for lang in kept}
+        lang, score = model.predict(made.of(r["text"]))
+        assert len(made.of(r["text"])) == len(found) and exact[lang] >= max(exact.values()) - 0.02
+        if len(set(found)) >= 200:  # a false positive counts as often as its n-gram occurs
+            assert abs(score - exact[lang]) < 0.02
+            hashes = made.of(r["text"])
+            true = np.array([np.isin(hashes, own[x]).mean() for x in crowded.languages])
+            assert np.abs(crowded.shares(hashes) - true).max() < 0.2
+
+
+def test_texts_of_no_language_are_rejected_and_others_stay(spark, docs, small):
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.fit(table.where(~langid.held_out()))
+    rng = random.Random(2)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(n))
+    bad = ["Съешь ещё этих мягких французских булок, да выпей чаю. " * k for k in (1, 50)] + [noise(30), noise(3000), "漢字仮名交じり文を書くのは難しいことではない" * 5, None, "12 34"]
+    clean = [r["text"] for r in table.collect() if r["text"] and any(c.isalpha() for c in r["text"])]
+    got = langid.identify(docs(enumerate(bad + clean)), model).select("doc_id", langid.is_rejected(0.35).alias("gone")).collect()
+    assert {r["doc_id"] for r in got if r["gone"]} == set(range(len(bad)))
+
+
+def test_languages_of_any_number(spark):
+    rows = [(i, chr(0x4E00 + i) * 20, f"l{i}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(frame)
+    assert [r["lang_pred"] for r in langid.identify(frame, model).orderBy("doc_id").collect()] == [r[2] for r in rows]
+    with pytest.raises(ValueError, match="more than 100 languages"):
+        langid.fit(frame, most_languages=100)
+
+
 def test_language_of_odd_rows(spark, docs, small):
     model = langid.fit(spark.read.parquet(f"{small}/documents.parquet"))
     rows = [(1, None), (2, ""), (3, "123 !! \n"), (4, "der und die"), (4, "der und die"), (None, "é"), (5, "the and of " * 5000)]
