@@ -6,17 +6,21 @@ numbers and, for verification, the windows themselves.  A task numbers a
 document's words by the benchmark's vocabulary (0: not in it), hashes all
 windows without a 0, looks them up and verifies each hit word by word.
 
-The benchmark is broadcast in shards of at most ``shard_words`` words each, so
-a task holds one bounded shard at a time whatever the benchmark's size; with
-more than one shard the shards' hits are merged by document.
+The benchmark is broadcast in shards of at most ``shard_words`` words each (one
+item at least).  With more than one shard each is a pass of its own over the
+documents: its hits are merged with those before, the rows are written to the
+shared folder, and the shard is taken back before the next is made.  So driver
+and tasks hold one bounded shard at a time whatever the benchmark's size.
 
 Words: A-Z lower-cased, then runs of characters other than ``\\x00-\\x2F``,
 ``\\x3A-\\x60`` and ``\\x7B-\\x7F``.
 
 Defined results: a null or empty text has no words and isn't contaminated; a
-null or empty item has no window; repeated items count each by its id; rows
-that repeat a document id are judged each on its own; an empty benchmark hits
-nothing; other columns pass through ``remove_contaminated`` untouched.
+very long text is scanned whole; a null or empty item has no window; repeated
+items count each by its id; items with a null id hit like others and are one
+null in ``items`` (first there); rows that repeat a document id are judged each
+on its own; an empty benchmark hits nothing; other columns pass through
+``remove_contaminated`` untouched.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import small_batches, split_batch, with_fields
+from .common import small_batches, split_batch, stage, with_fields
 
 #: Bytes that aren't part of a word, and the letters that are lower-cased.
 _OUTSIDE = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -59,7 +63,7 @@ def _rolling(ids: np.ndarray, n: int) -> np.ndarray:
 class WindowSet:
     """The windows of one shard of items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int):
         self.vocabulary: dict[bytes, int] = {}
         self.by_length: dict[int, dict[int, list[tuple[tuple, set]]]] = defaultdict(dict)
         for item, words in items:
@@ -122,8 +126,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text_c
     spark, out, schema = docs.sparkSession, docs, with_fields(docs, HITS)
     arrow = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
     where = docs.columns.index(text_col)
-    first = True
-    for shard in _shards(benchmark, n, item_col, item_text_col, shard_words):
+    shards = _shards(benchmark, n, item_col, item_text_col, shard_words)
+    shard, first = next(shards), True
+    while shard is not None:
         sent = spark.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, first=first) -> Iterator[pa.RecordBatch]:
@@ -139,13 +144,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text_c
                             hit[span["start"] : span["end"]] = True
                         if items is not None:
                             found |= set(items.as_py())
-                        rows.append((len(words), int(hit.sum()), sorted(found), [{"start": a, "end": b} for a, b in _spans(hit)]))
+                        rows.append((len(words), int(hit.sum()), sorted(found, key=lambda x: (x is not None, x or "")), [{"start": a, "end": b} for a, b in _spans(hit)]))
                     own = part.columns if first else part.columns[:-4]
                     made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow.types)]
                     yield pa.RecordBatch.from_arrays([*own, *made], names=[*(f"c{i}" for i in range(len(own))), *arrow.names])
 
         out = out.mapInArrow(run, schema)
-        first = False
+        shard, first = next(shards, None), False
+        if shard is not None:
+            out = stage(out, "shard-hits")
+            sent.destroy()
     return out
 
 
