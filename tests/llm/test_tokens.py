@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strideframe.llm import packing, token_files
@@ -120,3 +121,21 @@ def test_windows_hold(sizes):
 def test_differencing_known_case():
     window, sums = packing.differencing([8, 7, 6, 5, 4], 2)
     assert sorted(sums.tolist()) == [14, 16] and np.bincount(window, weights=[8, 7, 6, 5, 4]).tolist() == sums.tolist()
+
+
+def test_buckets_of_very_many_small_items_stay_small():
+    import tracemalloc
+
+    for sizes in ([1] * 131_072, [7] * 60_000, [4000] * 50 + [1] * 30_000):
+        tracemalloc.start()
+        window = packing.near_equal_windows(sizes, 4096)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        sums = np.bincount(window, weights=sizes)
+        assert sums.max() <= 4096 and len(sums) <= -(-sum(sizes) // 4096) * 1.05 + 1 and peak < 100e6
+
+
+def test_very_many_empty_documents(spark, tokenizer):
+    frame = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).coalesce(1)
+    got = packing.pack_documents(frame, tokenizer, 2).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n"), F.max("n"), F.count("*")).first()
+    assert got[0] == 300_000 and got[1] <= 4096 and got[2] <= 300_000 / 4096 * 1.05 + 1
