@@ -7,8 +7,9 @@ assistant's gets one more example without a trainable part, so that the output
 holds every turn.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``.  Control strings inside a
-role or a text are escaped reversibly: a backslash becomes two, and ``<|``
-becomes ``<\\|``, so that no text can open or close a turn.
+role or a text are escaped reversibly: a backslash becomes two, ``<|`` becomes
+``<\\|``, and a line break in a role becomes ``\\n``, so that no text can open or
+close a turn and no role can end early.
 
 Conversations are dealt out by id and sorted by turn within tasks; a task
 streams over its rows and holds one conversation's prefix, which its examples
@@ -16,7 +17,7 @@ hold anyway.
 
 Defined results: a null text is empty; a null role is the empty role; turns
 that repeat a number are ordered by role, then text; a null conversation id is
-a conversation; an empty table gives no example; other columns are ignored.
+a conversation; very long texts stay whole, in batches of one row; an empty table gives no example; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,13 +43,17 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace("\n", "\\n")
+
+
 def unescape(text: str) -> str:
-    return re.sub(r"\\([\\|])", r"\1", text)
+    return re.sub(r"\\([\\|n])", lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
 def format_turn(role: str | None, text: str | None) -> tuple[str, int, int]:
     """A formatted turn, and where its text begins and ends."""
-    head, body = f"{OPEN}{escape(role or '')}\n", escape(text or "")
+    head, body = f"{OPEN}{escape_role(role or '')}\n", escape(text or "")
     return head + body + CLOSE, len(head), len(head) + len(body)
 
 
