@@ -60,10 +60,17 @@ t0 AS MATERIALIZED (SELECT *, CAST([] AS VARCHAR[]) AS template FROM forms)"""
         out += f""",
 h{k} AS MATERIALIZED (SELECT *, array_to_string(template, '/') AS branch, form[{k + 1}] AS segment FROM t{k}),
 b{k} AS MATERIALIZED (SELECT host, branch, segment, sum(n) AS n, sum(labelled)::DOUBLE AS labelled, sum(bad)::DOUBLE AS bad FROM h{k} WHERE segment IS NOT NULL GROUP BY ALL),
-p{k} AS (SELECT host, branch, (sum(bad) + 1) / (sum(labelled) + 2) AS share FROM b{k} GROUP BY ALL),
-j{k} AS MATERIALIZED (SELECT host, branch, segment, n >= {least} AND abs(bad - share * labelled) > {z}::DOUBLE * sqrt(share * (1 - share) * labelled) AS literal FROM b{k} JOIN p{k} USING (host, branch)),
-m{k} AS (SELECT host, branch, count(*) AS alike FROM j{k} WHERE NOT literal GROUP BY ALL),
-n{k} AS (SELECT host, branch, segment, CASE WHEN literal OR alike = 1 THEN segment ELSE '*' END AS name FROM j{k} LEFT JOIN m{k} USING (host, branch)),
+o{k} AS (
+  SELECT a.host, a.branch, a.segment, a.n, a.labelled, a.bad, coalesce(sum(b.labelled), 0)::DOUBLE AS others, coalesce(sum(b.bad), 0)::DOUBLE AS others_bad
+  FROM b{k} a LEFT JOIN b{k} b ON a.host = b.host AND a.branch = b.branch AND a.segment <> b.segment GROUP BY ALL
+), g{k} AS (SELECT *, (bad + others_bad + 1) / (labelled + others + 2) AS share FROM o{k}),
+j{k} AS MATERIALIZED (
+  SELECT host, branch, segment, n, CASE WHEN labelled > 0 AND others > 0 AND abs(bad / labelled - others_bad / others) > {z}::DOUBLE * sqrt(share * (1 - share) * (1 / labelled + 1 / others))
+    THEN sign(bad / labelled - others_bad / others)::INT ELSE 0 END AS side FROM g{k}
+), n{k} AS (
+  SELECT host, branch, segment, CASE WHEN (n >= {least} AND side <> 0) OR count(*) FILTER (n < {least} OR side = 0) OVER (PARTITION BY host, branch, side) = 1
+    THEN regexp_replace(segment, '^[*]', '%2A') ELSE CASE side WHEN 0 THEN '*' WHEN 1 THEN '*+' ELSE '*-' END END AS name FROM j{k}
+),
 t{k + 1} AS MATERIALIZED (SELECT h.host, form, n, labelled, bad, CASE WHEN h.segment IS NULL THEN template ELSE template || [name] END AS template FROM h{k} h LEFT JOIN n{k} x ON h.host = x.host AND h.branch = x.branch AND h.segment = x.segment)"""
     return (
         out

@@ -3,12 +3,14 @@
 Every url's path is cut into segments; digit runs become ``#`` and long hex or
 UUID runs ``%`` (variable by form).  Urls of equal form are one row with their
 counts from then on.  The tree grows from the root, all hosts at once: at each
-level a host's branch keeps its literal segment only if it is frequent and the
-share of bad labels in it differs from that of its siblings together by more
-than sampling explains; the others (rare, or statistically similar) merge into
-one wildcard branch ``*``.  The tree is as deep as the deepest form: forms that
-have ended leave the loop, and so do those alone in their branch, as a branch
-without siblings keeps its name on every level.
+level a branch's share of bad labels is compared with that of all its siblings
+together, itself left out, by a two-sample test.  A frequent branch that differs
+by more than sampling explains keeps its literal segment.  The others merge by
+likeness: those that are alike to their siblings into one wildcard branch ``*``,
+rare ones that are worse into ``*+`` and rare ones that are better into ``*-``,
+so a bad branch isn't lost among good ones for being rare.  The tree is as deep
+as the deepest form: forms that have ended leave the loop, and so do those alone
+in their branch, as a branch without siblings keeps its name on every level.
 
 A template is rejected where its smoothed labelled purity, the bad share drawn
 towards its host's share and this towards that of all labels, reaches
@@ -22,8 +24,10 @@ form is one row on the other side.
 Defined results: a null url, or one without ``://``, has an empty host and path
 and meets no rule; it is judged by the template of the empty path; rows that
 repeat an id are judged each on its own; a host without labels takes the share
-of all labels, and with no label at all nothing is rejected; an empty table
-gives an empty result; other columns are ignored.
+of all labels, and with no label at all nothing is rejected; a literal segment
+that begins with ``*`` is named with ``%2A`` in its place; a url of any length
+is cut into all its segments; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +70,7 @@ def template_tree(forms: DataFrame, *, least: int, z: float, depth: int | None =
     now, done, level = forms.withColumn("template", F.array().cast("array<string>")).withColumn("alone", F.lit(False)), [], 0
     while True:
         ended = F.col("alone") | (F.size("form") <= level)
-        rest = F.slice("form", level + 1, F.greatest(F.size("form") - level, F.lit(0)))
+        rest = F.transform(F.slice("form", level + 1, F.greatest(F.size("form") - level, F.lit(0))), lambda x: F.regexp_replace(x, r"^\*", "%2A"))
         done.append(now.where(ended).select(*forms.columns, F.concat("template", rest).alias("template")))
         now = now.where(~ended)
         if now.isEmpty() or (depth is not None and level > depth):
@@ -74,16 +78,22 @@ def template_tree(forms: DataFrame, *, least: int, z: float, depth: int | None =
         here = now.withColumn("at", F.concat_ws("/", "template")).withColumn("segment", F.get("form", F.lit(level)))
         branches = here.groupBy("host", "at", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.count("*").alias("forms"))
         parents = branches.groupBy("host", "at").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+        others, others_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-        differs = F.abs(F.col("bad") - share * F.col("labelled")) > z * F.sqrt(share * (1 - share) * F.col("labelled"))
-        judged = branches.join(parents, ["host", "at"]).withColumn("literal", (F.col("n") >= least) & differs)
-        merged = judged.where(~F.col("literal")).groupBy("host", "at").agg(F.count("*").alias("alike"))
-        kept = judged.select("host", "at", "segment", "literal", "forms").join(merged, ["host", "at"], "left")
+        gap = F.col("bad") / F.col("labelled") - others_bad / others
+        differs = F.abs(gap) > z * F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / others))
+        # -1, 0 or 1: better, alike, worse; a branch or siblings without labels are alike
+        side = F.when((F.col("labelled") > 0) & (others > 0) & differs, F.signum(gap).cast("int")).otherwise(0)
+        judged = branches.join(parents, ["host", "at"]).withColumn("side", side).withColumn("literal", (F.col("n") >= least) & (F.col("side") != 0))
+        merged = judged.where(~F.col("literal")).groupBy("host", "at", "side").agg(F.count("*").alias("alike"))
+        kept = judged.select("host", "at", "segment", "literal", "side", "forms").join(merged, ["host", "at", "side"], "left")
         # a branch with none to merge with keeps its name
-        kept = kept.select("host", "at", "segment", "forms", F.when(F.col("literal") | (F.col("alike") == 1), F.col("segment")).otherwise("*").alias("name"))
+        own = F.regexp_replace("segment", r"^\*", "%2A")
+        wild = F.when(F.col("side") > 0, "*+").when(F.col("side") < 0, "*-").otherwise("*")
+        kept = kept.select("host", "at", "segment", "forms", F.when(F.col("literal") | (F.col("alike") == 1), own).otherwise(wild).alias("name"))
         grown = here.join(kept, ["host", "at", "segment"])
-        # the only form of a branch; one named as merged branches are may be theirs
-        alone = (F.col("forms") == 1) & (F.col("name") != "*")
+        # the only form of a branch
+        alone = (F.col("forms") == 1) & ~F.col("name").startswith("*")
         now = stage(grown.select(*forms.columns, F.concat("template", F.array("name")).alias("template"), alone.alias("alone")), f"tree-{level}")
         level += 1
     done.append(now.select(*forms.columns, "template"))

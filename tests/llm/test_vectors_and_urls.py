@@ -79,11 +79,18 @@ def brute_tree(rows, depth, least, z):
                     own[k] += v
         called = {}
         for key, branches in sums.items():
-            labelled, bad = (sum(v[k] for v in branches.values()) for k in (1, 2))
-            share = (bad + 1) / (labelled + 2)
-            literal = {s for s, (n, l, b) in branches.items() if n >= least and abs(b - share * l) > z * np.sqrt(share * (1 - share) * l)}
-            rest = set(branches) - literal
-            called |= {(*key, s): s if s in literal or len(rest) == 1 else "*" for s in branches}
+            side = {}
+            for s, (_, l, b) in branches.items():
+                rest = [v for t, v in branches.items() if t != s]
+                ol, ob = sum(v[1] for v in rest), sum(v[2] for v in rest)
+                share = (b + ob + 1) / (l + ol + 2)
+                gap = b / l - ob / ol if l and ol else 0
+                side[s] = 0 if not l or not ol or abs(gap) <= z * np.sqrt(share * (1 - share) * (1 / l + 1 / ol)) else 1 if gap > 0 else -1
+            literal = {s for s, (n, *_) in branches.items() if n >= least and side[s]}
+            own = lambda s: "%2A" + s[1:] if s.startswith("*") else s
+            for s in branches:
+                alike = [t for t in branches if t not in literal and side[t] == side[s]]
+                called[(*key, s)] = own(s) if s in literal or len(alike) == 1 else {0: "*", 1: "*+", -1: "*-"}[side[s]]
         names |= {(h, tuple(f)): (*names[h, tuple(f)], called[h, names[h, tuple(f)], f[level]]) for h, f, *_ in rows if level < len(f)}
     return {k: "/" + "/".join(v) for k, v in names.items()}
 
@@ -119,3 +126,20 @@ def test_pages_query(spark, small):
         host, path = brute_host(pages[r["page_id"]])
         rule, verdict = brute_rule(host, path)
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ("allow", "block") and (verdict is None or r["verdict"] == verdict)
+
+
+def templates(spark, branches):
+    """The template of each branch (segment, n, labelled, bad) of one host, and of a second level for rare ones."""
+    frame = spark.createDataFrame([("h", [s], n, l, b) for s, n, l, b in branches], "host string, form array<string>, n long, labelled long, bad long")
+    return {r["form"][0]: r["template"] for r in url_filters.template_tree(frame, least=20, z=2.6).collect()}
+
+
+def test_a_dominant_branch_is_compared_with_the_others_only(spark):
+    got = templates(spark, [("big", 1000, 1000, 150), ("x", 100, 100, 0), ("y", 100, 100, 0)])
+    assert got["big"] == "/big"
+
+
+def test_rare_branches_merge_with_their_like(spark):
+    got = templates(spark, [("bad1", 19, 19, 19), ("bad2", 10, 10, 10), *((f"g{i}", 19, 19, 0) for i in range(30)), ("*", 5, 0, 0), ("**", 5, 0, 0)])
+    assert {got["bad1"], got["bad2"]} == {"/*+"} and {got[f"g{i}"] for i in range(30)} == {"/*"} and got["*"] == got["**"] == "/*"
+    assert templates(spark, [("*", 5, 0, 0)]) == {"*": "/%2A"}
