@@ -25,29 +25,35 @@ shares: its links all show in short lists, and what a common passage lines up
 falls apart.  Copies that are the same text are one representative beforehand, so
 a hot copy is one row.
 
-A list of more than one document becomes bounded chunks.  Chunks are compared by
-parity sketches: the popcount of two sketches' difference never exceeds the
-sets' difference, so no link is lost.  A chunk or pair of chunks gives at most a
-spanning forest, never all pairs; forests over all lists join to candidate
-components, which contain every link.  Within those, sets (read again for these
-documents only) are compared exactly, chunk by chunk, again down to forests,
-and the final components follow.
+Nothing lists all pairs of a group.  A list is cut into bounded parts, long lists
+in one of three orders, so that the parts of a group's lists overlap.  A part's
+sets are compared by parity sketches (the popcount of two sketches' difference
+never exceeds the sets' difference, so no link is lost) and give a spanning
+forest.  What the forests of all lists leave apart within a long list is then
+compared across its parts (``cross_parts``), and forests join to candidate
+components, which contain every link.  Small components are compared exactly,
+whole.  In a large one the forests' edges are verified first and what they
+confirm is contracted: only sets that stay apart are compared, chunk by chunk.
+So a group of N near copies costs work in proportion to N.
 
 Defined results: a null or empty text has an empty set and links with nothing;
-a text of fewer words than ``n`` is one shingle, its whole sequence; rows that
-repeat an id with different texts are linked through that id; a null id is
-dropped; an empty table gives an empty result; other columns are ignored.
+a text of fewer words than ``n`` is one shingle, its whole sequence; a very long
+text is one set of all its shingles; rows that repeat an id with different texts
+are linked through that id; a null id is dropped; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, islice
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -262,7 +268,7 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the ids in ``edges`` (a, b): the smallest id that edges reach, by alternating large-star and small-star rounds.  Each round is written to the shared folder; nothing is collected but a fingerprint of the edges."""
+    """(id, component) of the ids in ``edges`` (a, b): the smallest id that edges reach, by alternating large-star and small-star rounds.  Each round is written to the shared folder, and so are the least neighbours, so that a hub's edges meet a plain table and skew handling can split them; nothing is collected but a fingerprint of the edges."""
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -271,9 +277,9 @@ def components(edges: DataFrame) -> DataFrame:
     while (found := mark(now)) != seen:
         seen = found
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = stage(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stage(small.unionByName(low.toDF("a", "b")).distinct(), "small-star")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
@@ -310,33 +316,33 @@ _LISTS = pa.schema([("key", pa.int64()), ("part", pa.int32()), ("members", pa.li
 
 
 def _postings(rule: Signatures, n: int):
-    """(node, text) to rows (key, node, null), and for each node a row (size, -1 - node, sketch)."""
+    """(node, text) to rows (key, node, null), and for each node a row (a hash of it, node, its set's size and sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
         for batch in batches:
             for part in split_batch(batch, 4 << 20):
-                keys, nodes, sizes, sketches = [], [], [], []
-                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                own = part.column(0).to_numpy()
+                keys, nodes, sketches = [], [], []
+                for node, text in zip(own.tolist(), part.column(1).to_pylist(), strict=True):
                     found = shingles(text)
-                    own = rule(found)
-                    keys.append(own)
-                    nodes.append(np.full(len(own), node, np.int64))
-                    sizes.append(len(found))
-                    sketches.append(_sketch(found, sketch_bits(len(found))))
-                key = np.concatenate([*(k.view(np.int64) for k in keys), np.array(sizes, np.int64)])
-                node = np.concatenate([*nodes, -1 - np.array(part.column(0).to_numpy(), np.int64)])
-                sketch = pa.concat_arrays([pa.nulls(len(key) - len(sizes), pa.binary()), pa.array(sketches, pa.binary())])
+                    posted = rule(found)
+                    keys.append(posted.view(np.int64))
+                    nodes.append(np.full(len(posted), node, np.int64))
+                    sketches.append(len(found).to_bytes(8, "little") + _sketch(found, sketch_bits(len(found))))
+                key = np.concatenate([*keys, _mix(own.astype(np.uint64)).view(np.int64)])
+                node = np.concatenate([*nodes, own])
+                sketch = pa.concat_arrays([pa.nulls(len(key) - len(own), pa.binary()), pa.array(sketches, pa.binary())])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), sketch], schema=_POSTINGS)
 
     return run
 
 
 def _lists(most: int):
-    """Postings sorted by key and node to lists of several nodes, in parts of up to ``most``, and the nodes' own rows."""
+    """Postings sorted by key (equal rows are neighbours) to lists of several nodes, in parts of up to ``most``, and the nodes' own rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, open_nodes, open_part = None, [], 0
+        open_key, open_nodes, open_part, last = None, [], 0, None
         rows: list[tuple] = []
 
         def close() -> None:
@@ -345,10 +351,12 @@ def _lists(most: int):
 
         for batch in batches:
             key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            own = np.flatnonzero(node < 0)
-            for k, v, s in zip(key[own].tolist(), node[own].tolist(), batch.column(2).take(pa.array(own)).to_pylist(), strict=True):
-                rows.append((None, None, None, -1 - v, k, s))
-            posted = np.flatnonzero(node >= 0)
+            posted = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(~posted)
+            for v, s in zip(node[own].tolist(), batch.column(2).take(pa.array(own)).to_pylist(), strict=True):
+                if v != last:  # a row that repeats
+                    rows.append((None, None, None, v, int.from_bytes(s[:8], "little"), s[8:]))
+                last = v
             key, node = key[posted], node[posted]
             if len(key):
                 # only runs of a key matter, and the first and last key, which may go on in other batches
@@ -356,7 +364,8 @@ def _lists(most: int):
                 starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(key)]))
                 wanted = np.flatnonzero(ends - starts > 1)
                 for r in sorted({0, len(starts) - 1, *wanted.tolist()}):
-                    k, found = int(key[starts[r]]), np.unique(node[starts[r] : ends[r]]).tolist()
+                    k, run_ = int(key[starts[r]]), node[starts[r] : ends[r]]
+                    found = run_[np.concatenate(([True], run_[1:] != run_[:-1]))].tolist()
                     if k != open_key:
                         close()
                         open_key, open_nodes, open_part = k, [], 0
@@ -374,98 +383,209 @@ def _lists(most: int):
     return run
 
 
-def link_documents(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512, broadcast_ids: int = 200_000) -> DataFrame:
-    """A row for each row with an id: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included).  ``chunk``: sets compared at once; ``broadcast_ids``: up to so many ids, the texts to read again are picked by a broadcast, beyond by a shuffle."""
-    small_batches(docs.sparkSession)
-    rule = Signatures(num, den, choose_boundary(num, den))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    rows = rows.withColumn("text_key", F.md5(F.col("text").cast("binary")))
-
-    # one node for each different text, at the smallest of its ids
-    first = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    nodes = stage(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = stage(rows.select("doc_id", "text_key").join(nodes.select("text_key", "node"), "text_key").select("doc_id", "node"), "members")
-    texts = rows.join(nodes, ["text_key", "doc_id"])
-
-    # postings, lists, and each node's size and sketch
-    posted = texts.select("node", "text").mapInArrow(_postings(rule, n), "key long, node long, sketch binary")
-    lists = stage(posted.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_lists(chunk), LISTS), "lists")
-    features = lists.where("node is not null").select("node", "size", "sketch")
-    parts = lists.where("members is not null").select("key", "part", "members")
+def cross_parts(groups: DataFrame, most: int) -> DataFrame:
+    """(item, side, id): what has to be compared so that within each group (rows: group, sub, id) all ids of different subs meet.
+
+    A sub of more than ``most`` ids fills parts of its own; smaller ones share parts, each whole in one.  An item is a
+    pair of parts, or one shared part in itself; two parts of one sub don't meet, so a group of one sub has no item.
+    """
+    counted = stage(groups.groupBy("group", "sub").agg(F.count("*").alias("n")), "subs")
+    several = counted.groupBy("group").agg(F.count("*").alias("subs"), F.sum(F.when(F.col("n") <= most, F.col("n"))).alias("small")).where("subs > 1")
+    # whole: the sub that fills a part, -1 for shared parts
+    large = F.col("n") > most
+    parted = counted.join(several, "group").select("group", "sub", F.when(large, F.col("sub")).otherwise(-1).alias("whole"), F.ceil(F.when(large, F.col("n")).otherwise(F.col("small")) / F.lit(most)).alias("parts"))
+    number = F.pmod(F.when(F.col("whole") < 0, F.xxhash64("sub")).otherwise(F.xxhash64("id")), F.col("parts"))
+    dealt = stage(groups.join(parted, ["group", "sub"]).select("group", "whole", number.alias("number"), "id"), "dealt")
+    parts = stage(dealt.select("group", "whole", "number").distinct(), "parts")
+    first, second = F.struct("whole", "number"), F.struct("other_whole", "other_number")
+    apart = (F.col("whole") < 0) | (F.col("whole") != F.col("other_whole"))
+    pairs = parts.join(parts.toDF("group", "other_whole", "other_number"), "group").where((first < second) & apart)
+    alone = parts.where("whole < 0").withColumns({"other_whole": F.lit(None).cast("long"), "other_number": F.lit(None).cast("long")})
+    items = stage(pairs.unionByName(alone).withColumn("item", F.monotonically_increasing_id()), "cross")
+    sides = items.select("item", F.lit(0).alias("side"), "group", "whole", "number").unionByName(items.where("other_whole is not null").select("item", F.lit(1).alias("side"), "group", F.col("other_whole").alias("whole"), F.col("other_number").alias("number")))
+    return sides.join(dealt, ["group", "whole", "number"]).select("item", "side", "id")
+
+
+def _likely(num: int, den: int):
+    """Rows (item, side, id, size, sketch) sorted by item and side to forests."""
 
-    # long lists: only nodes with as many of a band's as a link shares stay
-    long = parts.where("part > 0").select("key").distinct().join(parts, "key").select("key", F.explode("members").alias("node")).withColumn("band", F.pmod("key", F.lit(NUMBERS)).cast("int"))
-    least = F.element_at(F.array(*map(F.lit, rule.shared_lists())), F.col("band") + 1)
-    enough = long.groupBy("node", "band").agg(F.count("*").alias("lists")).where(F.col("lists") >= least).select("node", "band")
-    left = long.join(enough, ["node", "band"]).select("key", "node", F.lit(None).cast("binary").alias("sketch"))
-    again = stage(left.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_lists(chunk), LISTS), "long-lists").select("key", "part", "members")
-
-    # work items: each different list's parts, and pairs of parts of long lists
-    short = parts.join(parts.where("part > 0").select("key").distinct(), "key", "left_anti")
-    hot = again.where("part > 0").select("key").distinct().join(again, "key")
-    one = short.unionByName(again).select("members", F.lit(None).cast("array<long>").alias("others")).where("size(members) > 1")
-    two = hot.select("key", F.col("part").alias("p"), "members").join(hot.select("key", F.col("part").alias("q"), F.col("members").alias("others")), "key").where("p < q").select("members", "others")
-    items = stage(one.unionByName(two).distinct().withColumn("item", F.monotonically_increasing_id()), "items")
-    side = lambda name, k: items.select("item", F.lit(k).alias("side"), F.explode(name).alias("node"))
-    placed = side("members", 0).unionByName(side("others", 1)).join(features, "node").select("item", "side", "node", "size", "sketch")
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(group: list[tuple]) -> list[tuple[int, int]]:
             _, sides, ids, sizes, sketches = zip(*group, strict=True)
             return sketch_forest(list(ids), np.array(sizes, np.int64), list(sketches), sides.index(1) if 1 in sides else 0, num, den)
 
         yield from _edge_batches(found(g) for g in _groups(batches))
 
-    candidates = components(placed.repartition(F.col("item")).sortWithinPartitions("item", "side", "node").mapInArrow(likely, EDGES))
+    return run
+
+
+def _exact(num: int, den: int):
+    """Rows (item, side, id, shingles) sorted by item and side to forests of exact links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(group: list[tuple]) -> list[tuple[int, int]]:
+            _, sides, ids, shingles = zip(*group, strict=True)
+            return exact_forest(list(ids), [np.frombuffer(x, "<u8") for x in shingles], sides.index(1) if 1 in sides else 0, num, den) if len(ids) > 1 else []
+
+        yield from _edge_batches(found(g) for g in _groups(batches))
+
+    return run
+
+
+def _verified(num: int, den: int):
+    """Rows (a, b, set of a, set of b): those that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(den * shared >= num * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_EDGES).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
-    # exact links within candidate components
-    both = stage(candidates.unionByName(candidates.select(F.col("component").alias("id"), "component")).distinct(), "candidates")
-    counted = both.groupBy("component").agg(F.ceil(F.count("*") / F.lit(chunk // 2)).cast("int").alias("chunks"))
-    dealt = both.join(counted, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    wanted = nodes.join(both.select(F.col("id").alias("node")), "node")
-    small = both.limit(broadcast_ids + 1).count() <= broadcast_ids
-    reread = rows.join(F.broadcast(wanted) if small else wanted, ["text_key", "doc_id"]).select("node", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(n)
         for batch in batches:
             for part in split_batch(batch):
                 made = [shingles(x).astype("<u8").tobytes() for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["id", "shingles"])
 
-    known = reread.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    work = dealt.select(F.col("id").alias("node"), "component", "own", other.alias("other"))
-    work = work.select("node", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("item"), "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    compared = work.join(known, "node").select("item", "component", "p", "q", "side", "node", "shingles")
+    return run
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(group: list[tuple]) -> list[tuple[int, int]]:
-            _, _, _, _, sides, ids, shingles = zip(*group, strict=True)
-            return exact_forest(list(ids), [np.frombuffer(x, "<u8") for x in shingles], sides.index(1) if 1 in sides else 0, num, den) if len(ids) > 1 else []
 
-        yield from _edge_batches(found(g) for g in _groups(batches))
+@dataclass
+class TextLinks:
+    """keys: doc_id, text_key, words (whether it has any) of each row; texts: text_key, node, first (its smallest id), size of each different text with words; edges: a forest of the links between nodes."""
+
+    keys: DataFrame
+    texts: DataFrame
+    edges: DataFrame
+
+
+def link_texts(rows: DataFrame, *, num: int, den: int, n: int, chunk: int = 512, broadcast_ids: int = 200_000) -> TextLinks:
+    """The links between the different texts of ``rows`` (doc_id, text).  ``chunk``: sets compared at once; ``broadcast_ids``: up to so many texts, those to read again are picked by a broadcast, beyond by a shuffle."""
+    small_batches(rows.sparkSession)
+    rule = Signatures(num, den, choose_boundary(num, den))
+    rows = rows.withColumns({"text_key": F.unhex(F.md5(F.col("text").cast("binary"))), "words": F.col("text").rlike(r"[^\x20\x09-\x0D]")})
+
+    # one node for each different text, read at the smallest of its ids
+    keys = stage(rows.select("doc_id", "text_key", "words"), "keys")
+    nodes = stage(keys.where("words").groupBy("text_key").agg(F.min("doc_id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    read_at = lambda chosen: rows.join(chosen.withColumnRenamed("first", "doc_id"), ["text_key", "doc_id"]).select("node", "text")
 
-    links = compared.repartition(F.col("item")).sortWithinPartitions("item", "side", "node").mapInArrow(exact, EDGES)
-    # rows that repeat an id; the empty text links with nothing
-    filled = members.join(features.where("size = 0").select("node"), "node", "left_anti")
-    repeated = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a").join(filled, "doc_id").select("a", F.col("node").alias("b"))
-    joined = components(links.unionByName(repeated))
-
-    # documents: their node's component, named by its smallest id
-    sized = members.join(features.select("node", "size"), "node").join(joined.select(F.col("id").alias("node"), "component"), "node", "left")
-    named = stage(sized.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "node").alias("component")), "named")
-    smallest = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
-    out = named.join(smallest, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component stays, that of the smallest id; rows without an id stay, and of rows that repeat an id one."""
-    linked = link_documents(docs, id_col=id_col, text_col=text_col, **options)
-    gone = stage(linked.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    again = linked.groupBy("doc_id").count().where("count > 1")
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    if again.isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    # postings, lists, and each node's size and sketch
+    posted = read_at(nodes).mapInArrow(_postings(rule, n), "key long, node long, sketch binary")
+    lists = stage(posted.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_lists(chunk), LISTS), "lists")
+    features = lists.where("node is not null").select(F.col("node").alias("id"), "size", "sketch")
+    parts = lists.where("members is not null").select("key", "part", "members")
+
+    # long lists: only nodes with as many of a band's as a link shares stay, in one of three orders
+    hot = parts.where("part > 0").select("key").distinct()
+    long = hot.join(parts, "key").select("key", F.explode("members").alias("node")).withColumn("band", F.pmod("key", F.lit(NUMBERS)).cast("int"))
+    least = F.element_at(F.array(*map(F.lit, rule.shared_lists())), F.col("band") + 1)
+    enough = long.groupBy("node", "band").agg(F.count("*").alias("lists")).where(F.col("lists") >= least).select("node", "band")
+    left = long.join(enough, ["node", "band"]).select("key", "node", F.lit(None).cast("binary").alias("sketch"))
+    order = F.xxhash64("node", F.pmod(F.shiftright("key", 6), F.lit(3)))
+    again = stage(left.repartition(F.col("key")).sortWithinPartitions("key", order, "node").mapInArrow(_lists(chunk), LISTS), "long-lists").select("key", "part", "members")
+
+    def compared(placed: DataFrame) -> DataFrame:
+        described = placed.join(features, "id").select("item", "side", "id", "size", "sketch")
+        return described.repartition(F.col("item")).sortWithinPartitions("item", "side", "id").mapInArrow(_likely(num, den), EDGES)
+
+    # each different part in itself
+    short = parts.join(hot, "key", "left_anti")
+    one = stage(short.unionByName(again).select("members").where("size(members) > 1").distinct().withColumn("item", F.monotonically_increasing_id()), "items")
+    likely = stage(compared(one.select("item", F.lit(0).alias("side"), F.explode("members").alias("id"))), "likely")
+    candidates = components(likely)
+
+    # across the parts of lists that are still long, what isn't together yet
+    if not again.where("part > 0").isEmpty():
+        still = again.where("part > 0").select("key").distinct().join(again, "key").select(F.col("key").alias("group"), F.explode("members").alias("id"))
+        apart = still.join(candidates, "id", "left").select("group", F.coalesce("component", "id").alias("sub"), "id")
+        across = stage(compared(cross_parts(apart, chunk // 2)), "across")
+        if not across.isEmpty():
+            likely = likely.unionByName(across)
+            candidates = components(likely)
+
+    # exact links: small components whole
+    both = stage(candidates.unionByName(candidates.select(F.col("component").alias("id"), "component")).distinct(), "candidates")
+    sizes = stage(both.groupBy("component").agg(F.count("*").alias("n")), "candidate-sizes")
+    few = both.limit(broadcast_ids + 1).count() <= broadcast_ids
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = nodes.join(ids.select(F.col("id").alias("node")), "node")
+        return read_at(F.broadcast(wanted) if few else wanted).mapInArrow(_sets(n), "id long, shingles binary").dropDuplicates(["id"])
+
+    def linked(work: DataFrame) -> DataFrame:
+        return work.repartition(F.col("item")).sortWithinPartitions("item", "side", "id").mapInArrow(_exact(num, den), EDGES)
+
+    small = both.join(sizes.where(F.col("n") <= chunk // 2), "component").select(F.col("component").alias("item"), F.lit(0).alias("side"), "id")
+    edges = linked(small.join(sets_of(small), "id").select("item", "side", "id", "shingles"))
+
+    # large ones: forests' edges first, then only what stays apart
+    large = both.join(sizes.where(F.col("n") > chunk // 2), "component").select("component", "id")
+    if not large.isEmpty():
+        large = stage(large, "large")
+        own = stage(sets_of(large), "large-sets")
+        asked = likely.distinct().join(large.select(F.col("id").alias("a")), "a")
+        pairs = asked.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        sure = stage(pairs.mapInArrow(_verified(num, den), EDGES), "verified")
+        apart = large.join(components(sure).toDF("id", "sub"), "id", "left").select(F.col("component").alias("group"), F.coalesce("sub", "id").alias("sub"), "id")
+        met = cross_parts(apart, chunk // 2).join(own, "id").select("item", "side", "id", "shingles")
+        edges = edges.unionByName(sure).unionByName(linked(met))
+    texts = nodes.join(features.select(F.col("id").alias("node"), "size"), "node")
+    return TextLinks(keys, texts, stage(edges, "links"))
+
+
+def link_documents(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512, broadcast_ids: int = 200_000) -> DataFrame:
+    """A row for each row with an id: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    found = link_texts(rows, num=num, den=den, n=n, chunk=chunk, broadcast_ids=broadcast_ids)
+    # links between texts as links between their smallest ids, and ids with several texts: a component's name needs no search then
+    named = found.texts.select("node", "first")
+    links = found.edges.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    filled = found.keys.where("words")
+    repeated = filled.groupBy("doc_id").agg(F.min("text_key").alias("p"), F.max("text_key").alias("q")).where("p <> q").select("doc_id")
+    through = filled.join(repeated, "doc_id").join(found.texts.select("text_key", "first"), "text_key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    joined = components(links.unionByName(through))
+    told = stage(found.texts.join(joined.select(F.col("id").alias("first"), "component"), "first", "left").select("text_key", F.col("size").alias("n_shingles"), F.coalesce("component", "first").alias("component_id")), "told")
+    empty = found.keys.where(~F.col("words")).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return filled.join(told, "text_key").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+
+
+def drop_near_duplicates(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component of linked texts stays: that of the smallest id, and of texts with that id the one of the smallest digest.
+
+    Rows count by their texts, so rows that repeat an id with texts that have nothing in common all stay.  Of rows equal
+    in id and text one stays, the least in its other columns where these can be ordered.  Rows without an id and texts
+    without words stay all.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    plain = docs.toDF(*names).withColumns({"doc_id": F.col(id_).cast("long"), "text": F.coalesce(F.col(text), F.lit(""))})
+    found = link_texts(plain.select("doc_id", "text").where("doc_id is not null"), num=num, den=den, n=n, **options)
+    linked = components(found.edges)
+    linked = stage(linked.unionByName(linked.select(F.col("component").alias("id"), "component")).distinct().join(found.texts.select(F.col("node").alias("id"), "first", "text_key"), "id"), "linked")
+    stays = linked.groupBy("component").agg(F.min(F.struct("first", "text_key"))["text_key"].alias("text_key")).select("text_key")
+    gone = linked.select("text_key").join(stays, "text_key", "left_anti").select("text_key", F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
+    # texts of several rows: the row of the smallest id stays
+    copies = found.keys.where("words").groupBy("text_key", "doc_id").agg(F.count("*").alias("n")).groupBy("text_key").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.sum("n").alias("rows")).where("rows > 1")
+    copies = copies.join(gone, "text_key", "left_anti").select("text_key", F.col("least.doc_id").alias("first"), F.col("least.n").alias("n"))
+    fate = stage(gone.unionByName(copies), "fates")
+    judged = plain.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary")))).join(fate, "text_key", "left")
+    kept = judged.where(F.col("n").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("first")))
+    several = (F.col("n") > 1) & F.col("doc_id").isNotNull()
+    out = kept.where(~F.coalesce(several, F.lit(False))).select(names)
+    if not fate.where("n > 1").isEmpty():
+        again = kept.where(several)
+        try:
+            again = again.groupBy("text_key").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+        except AnalysisException:  # columns without an order
+            again = again.dropDuplicates(["text_key"]).select(names)
+        out = out.unionByName(again)
+    return out.toDF(*docs.columns)

@@ -113,3 +113,75 @@ def test_sketches_never_exceed_the_difference():
 
 def test_the_boundary_is_where_subsets_get_dear():
     assert 6 <= join.choose_boundary(85, 100) <= 20
+
+
+def parts_meet(rows, items, most):
+    """Whether all ids of different subs of a group are in one item, on both sides or in a single one."""
+    by = defaultdict(lambda: (set(), set()))
+    for item, side, id_ in items:
+        by[item][side].add(id_)
+    met = set()
+    for one, two in by.values():
+        met |= {frozenset((a, b)) for a in one for b in (two or one)}
+    groups = defaultdict(list)
+    for group, sub, id_ in rows:
+        groups[group].append((sub, id_))
+    return all(frozenset((a, b)) in met for g in groups.values() for x, a in g for y, b in g if x != y)
+
+
+def test_what_stays_apart_meets(spark):
+    rng = random.Random(8)
+    rows = [(1, 7, k) for k in range(90)] + [(2, rng.randrange(100, 108), k) for k in range(200, 330)] + [(3, 50, k) for k in range(400, 440)] + [(3, 51, 500)] + [(4, k, k) for k in range(600, 640)]
+    found = join.cross_parts(spark.createDataFrame(rows, "group long, sub long, id long"), 8).collect()
+    items = [(r["item"], r["side"], r["id"]) for r in found]
+    assert parts_meet(rows, items, 8)
+    assert not any(id_ < 90 for *_, id_ in items)  # a group of one sub has no work
+    assert sum(400 <= id_ <= 500 for *_, id_ in items) < 60  # one sub and a single id: in proportion to the group
+
+
+def test_work_grows_with_a_group_of_near_copies(docs, spark, monkeypatch):
+    """3,000 near copies of one text: rows that are compared, and pairs of parts, in proportion to them."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    made = {}
+    for size in (600, 3000):
+        rows = []
+        for k in range(size):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = f"v{k}"
+            rows.append((k, " ".join(copy)))
+        rows += [(size + k, " ".join(f"q{rng.randrange(10**6)}" for _ in range(40))) for k in range(50)]
+        counted = []
+        def stage(df, name, real=join.stage, counted=counted):
+            out = real(df, name)
+            if name in ("cross", "items", "dealt", "likely", "across", "large"):
+                counted.append((name, out.count()))
+            return out
+
+        monkeypatch.setattr(join, "stage", stage)
+        got = result(join.link_documents(docs(rows)))
+        monkeypatch.undo()
+        assert all(got[k][1] == 0 for k in range(size)) and all(got[size + k][1] == size + k for k in range(50))
+        made[size] = sum(n for _, n in counted)
+    assert made[3000] < 7 * made[600]
+
+
+def test_both_ways_of_reading_again_agree(docs):
+    rng = random.Random(10)
+    rows = [(k, " ".join(f"w{j if rng.random() < 0.97 else rng.randrange(10**6)}" for j in range(50 * (k % 5), 50 * (k % 5) + 40))) for k in range(120)]
+    one = result(join.link_documents(docs(rows), broadcast_ids=0, chunk=8))
+    assert one == result(join.link_documents(docs(rows))) == brute(rows)
+
+
+def test_rows_that_repeat_give_a_row_each(docs):
+    rows = [(5, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (6, None), (6, None), (7, "a b c d e")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in join.link_documents(docs(rows)).collect())
+    assert got == [(5, 2, 5)] * 3 + [(6, 0, 6)] * 2 + [(7, 2, 5)]
+
+
+def test_texts_of_repeated_ids_are_judged_each(docs):
+    one, two = "a b c d e f g", "h i j k l m n"
+    kept = join.drop_near_duplicates(docs([(1, one), (2, one), (2, two)]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, one), (2, two)]
+    kept = join.drop_near_duplicates(docs([(None, one), (None, one), (3, one), (None, two), (None, two), (4, ""), (4, "")]))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("3", one), ("4", ""), ("4", ""), ("None", one), ("None", one), ("None", two), ("None", two)]

@@ -1,7 +1,10 @@
 """The stages against brute-force versions, each on its own input."""
 
+import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from strideframe.llm import common, decontamination, ngram_join, queries, secrets
 
@@ -49,3 +52,13 @@ def test_no_documents(spark, small):
     for name, function in pipeline.STAGES:
         rows = common.stage(function(spark, rows, small), name)
     assert rows.count() == 0
+
+
+def test_planted_texts_of_no_language_go_and_clean_ones_stay(spark, small):
+    rng = random.Random(6)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10))) for _ in range(n))
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    planted = [(10**9 + k, t, lang, "p", 0) for k, (t, lang) in enumerate([("Съешь ещё этих мягких французских булок. " * 9, "en"), (noise(60), "de"), (noise(5000), None), ("漢字仮名交じり文を書くのは難しい" * 4, "fr"), ("?" * 50, "en")])]
+    both = common.stage(table.unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long").select(*(F.col(f.name).cast(f.dataType) for f in table.schema))), "planted")
+    kept = {r["doc_id"] for r in pipeline.language(spark, both, small).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in table.collect() if re.search(r"[^\W\d_]", r["text"] or "")}

@@ -85,4 +85,4 @@ def test_empty_rows_of_repeated_ids_link_with_nothing(docs):
     rows = [(1, ""), (2, None), (5, ""), (5, one), (6, ""), (6, two), (7, one), (8, " "), (8, two)]
     got = {(r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in ngram_join.link_documents(docs(rows)).collect()}
     assert got == {(1, False, 1), (2, False, 2), (5, False, 5), (5, True, 5), (6, False, 6), (6, True, 6), (7, True, 5), (8, False, 8), (8, True, 6)}
-    assert {r["doc_id"] for r in ngram_join.drop_near_duplicates(docs([r for r in rows if r[0] != 7])).collect()} == {1, 2, 5, 6}
+    assert {r["doc_id"] for r in ngram_join.drop_near_duplicates(docs([r for r in rows if r[0] != 7])).collect()} == {1, 2, 5, 6, 8}  # the empty row of 8 is no copy
