@@ -130,7 +130,7 @@ class LanguageFilter:
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 4, sample: int = 2000, grams: int | None = None, least: int = 1, typical: float = 0.2, hashes: int = 3, most_languages: int = 2048) -> LanguageFilter:
-    """A filter from labelled rows.  ``sample`` bounds the rows that are read of a language; ``grams`` (None: all) what is kept of it, the most frequent; ``least``: how often an n-gram must occur."""
+    """A filter from labelled rows.  ``sample`` bounds the rows that are read of a language; ``grams`` (None: all) what is kept of it, the most frequent; ``least``: in how many documents of a language an n-gram must occur (2 keeps a single mislabelled document from teaching)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()}
@@ -143,29 +143,30 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Grams(n)
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, arrays in held.items():
-                keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
+                keys, at = np.unique(np.concatenate([k for k, _ in arrays]), return_inverse=True)
+                times = np.bincount(at, weights=np.concatenate([c for _, c in arrays]), minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(times), pa.array(np.bincount(at, minlength=len(keys)))], names=["lang", "gram", "n", "docs"])
             held.clear()
 
         size = 0
         for batch in batches:
             for part in split_batch(batch):
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found = made.of(text)
+                    found = np.unique(made.of(text), return_counts=True)
                     held.setdefault(lang, []).append(found)
-                    size += len(found)
-                if size > 4_000_000:
+                    size += len(found[0])
+                if size > 2_000_000:
                     yield from out()
                     size = 0
         yield from out()
 
-    counts = taken.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = taken.mapInArrow(count, "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     total = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    kept = total.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("n") >= least) & (F.col("rate") >= typical * F.col("most")))
+    kept = total.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("docs") >= least) & (F.col("rate") >= typical * F.col("most")))
     if grams is not None:
         kept = kept.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), F.asc("gram")))).where(F.col("k") <= grams)
     found = kept.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # at most the n-grams of the sample
