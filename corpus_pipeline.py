@@ -1,6 +1,7 @@
 """Corpus pipeline over ``documents``: five stages, each on all that its predecessor kept.
 
-language       documents whose language can't be told go (short ones only if they have no letter)
+language       documents in none of the learnt languages go: those without a letter, and those whose share of known
+               n-grams is too low by more than chance explains; the same rule holds for texts of every length
 near_copies    one document of each group of linked documents stays
 benchmark      documents contaminated by benchmark passages go
 secrets        secrets in texts are masked
@@ -8,6 +9,11 @@ packing        texts become pieces of token sequences
 
 All but the last return the columns of ``documents``.  The stages read whole
 texts; null and empty texts leave with the first stage, as they have no letter.
+
+Other defined results: rows without an id are no copies; of near copies the
+smallest id stays; rows that repeat an id are documents of their own, and of
+rows equal in id and text one stays, the least in its other columns; columns of any names besides ``doc_id``, ``text`` and ``lang`` pass
+through all stages but the last; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -17,17 +23,16 @@ from pyspark.sql import functions as F
 
 from strideframe.llm import common, decontamination, langid, ngram_join, packing, queries, secrets
 
-#: A document is rejected where the best language has less than this share of its n-grams, unless it is shorter than this.
-LEAST_SHARE, SHORT = 0.05, 40
+#: A document is rejected where its share of the best language's n-grams is surely below this.
+LEAST_SHARE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the labelled rows of the table itself (a bounded sample) and keeps what it can tell."""
-    model = langid.fit(docs.where(~langid.held_out()))
+    """Learns from the labelled rows of the table itself (a bounded sample; n-grams of two documents at least, so that no text teaches itself) and keeps what it can tell."""
+    model = langid.fit(docs.where(~langid.held_out()), least=2)
     plain = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    text = f"c{docs.columns.index('text')}"
-    told = (F.col("score") >= LEAST_SHARE) | (F.length(text) < SHORT)
-    return langid.identify(plain, model, text_col=text).where((F.col("lang_pred") != "und") & told).select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    told = langid.identify(plain, model, text_col=f"c{docs.columns.index('text')}")
+    return told.where(~langid.is_rejected(LEAST_SHARE)).select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
