@@ -24,33 +24,39 @@ REACH = "origin long, node_id long, distance_m double"
 
 
 class Adjacency:
-    """Compressed rows of a directed graph: targets and lengths by start."""
+    """Compressed rows of a directed graph, in arrays: nodes by number, and each row's targets and lengths."""
 
     def __init__(self, src: np.ndarray, dst: np.ndarray, length: np.ndarray):
-        order = np.argsort(src, kind="stable")
-        starts, at = np.unique(src[order], return_index=True)
-        self.rows = dict(zip(starts.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True), strict=True))
-        self.dst, self.length = dst[order].tolist(), length[order].astype(np.float64).tolist()
+        self.ids = np.unique(np.concatenate((src, dst)).astype(np.int64))
+        start = np.searchsorted(self.ids, src)
+        order = np.argsort(start, kind="stable")
+        self.offsets = np.concatenate(([0], np.cumsum(np.bincount(start, minlength=len(self.ids)))))
+        self.dst, self.length = np.searchsorted(self.ids, dst)[order].astype(np.int32), length[order].astype(np.float64)
 
     def within(self, origin: int, cutoff: float) -> dict[int, float]:
         """Distances of all nodes up to ``cutoff`` (inclusive), the origin at 0."""
-        best, settled, heap = {origin: 0.0}, {}, [(0.0, origin)]
+        first = int(np.searchsorted(self.ids, origin))
+        if first == len(self.ids) or self.ids[first] != origin:
+            return {origin: 0.0}
+        best, settled, heap = {first: 0.0}, {}, [(0.0, first)]
         while heap:
             d, node = heapq.heappop(heap)
             if node in settled:
                 continue
             settled[node] = d
-            for k in range(*self.rows.get(node, (0, 0))):
-                there, far = self.dst[k], d + self.length[k]
+            row = slice(self.offsets[node], self.offsets[node + 1])
+            for there, hop in zip(self.dst[row].tolist(), self.length[row].tolist(), strict=True):
+                far = d + hop
                 if far <= cutoff and far < best.get(there, np.inf):
                     best[there] = far
                     heapq.heappush(heap, (far, there))
-        return settled
+        return dict(zip(self.ids[list(settled)].tolist(), settled.values(), strict=True))
 
 
 def _found(adjacency: Adjacency, origins: list[int], cutoff: float) -> pd.DataFrame:
-    rows = [(o, n, d) for o in origins for n, d in adjacency.within(o, cutoff).items()]
-    return pd.DataFrame(rows, columns=["origin", "node_id", "distance_m"]).astype({"origin": "int64", "node_id": "int64", "distance_m": "float64"})
+    parts = [(o, found) for o in origins for found in [adjacency.within(o, cutoff)]]
+    frame = {"origin": np.repeat(np.array([o for o, _ in parts], np.int64), [len(f) for _, f in parts]), "node_id": np.fromiter((n for _, f in parts for n in f), np.int64), "distance_m": np.fromiter((d for _, f in parts for d in f.values()), np.float64)}
+    return pd.DataFrame(frame)
 
 
 def reach_local(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
@@ -66,8 +72,8 @@ def reach_local(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFram
     return origins.select(F.col("node_id").alias("origin")).repartition("origin").mapInPandas(run, REACH)
 
 
-def reach_tiles(origins: DataFrame, edges: DataFrame, nodes: DataFrame, cutoff: float, *, tile_m: float | None = None) -> DataFrame:
-    """Each tile of ``tile_m`` searches its origins over the edges that start within ``cutoff`` of it; a path can't leave that margin, as an edge is never shorter than the way as the crow flies."""
+def reach_tiles(origins: DataFrame, edges: DataFrame, nodes: DataFrame, cutoff: float, *, tile_m: float | None = None, most: int = 2048) -> DataFrame:
+    """Each tile of ``tile_m`` searches its origins over the edges that start within ``cutoff`` of it; a path can't leave that margin, as an edge is never shorter than the way as the crow flies.  A tile of more than ``most`` origins is several tasks' work, so a dense one is neither a long task nor a large result."""
     tile_m = tile_m or 4 * cutoff
     high = nodes.agg(F.max(F.abs("lat"))).first()[0] or 0.0
     dy = tile_m / 111_000.0
@@ -81,7 +87,11 @@ def reach_tiles(origins: DataFrame, edges: DataFrame, nodes: DataFrame, cutoff:
     def search(here: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         return _found(Adjacency(*(graph[c].to_numpy() for c in ("src", "dst", "length_m"))), here["origin"].tolist(), cutoff)
 
-    found = own.groupBy("ty", "tx").cogroup(near.groupBy("ty", "tx")).applyInPandas(search, REACH)
+    own = written(own, "origins")
+    shares = own.groupBy("ty", "tx").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("shares"))
+    dealt = own.join(shares, ["ty", "tx"]).select("ty", "tx", F.pmod(F.xxhash64("origin"), F.col("shares")).cast("int").alias("share"), "origin")
+    copied = near.join(shares, ["ty", "tx"]).select("ty", "tx", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "src", "dst", "length_m")
+    found = dealt.groupBy("ty", "tx", "share").cogroup(copied.groupBy("ty", "tx", "share")).applyInPandas(search, REACH)
     lost = origins.select("node_id").join(place, "node_id", "left_anti")  # origins without a position reach themselves
     return found.unionByName(lost.select(F.col("node_id").alias("origin"), "node_id", F.lit(0.0).alias("distance_m")))
 
@@ -102,8 +112,9 @@ def reach_rounds(origins: DataFrame, edges: DataFrame, cutoff: float) -> DataFra
 
 
 def reach(origins: DataFrame, edges: DataFrame, nodes: DataFrame, cutoff: float, *, local_edges: int = 2_000_000) -> DataFrame:
-    """``reach_local`` up to ``local_edges`` edges (about 50 MB), else ``reach_tiles``.  Origins: distinct ids that aren't null."""
+    """``reach_local`` up to ``local_edges`` edges (40 MB as arrays), else ``reach_tiles``.  Origins: distinct ids that aren't null."""
     origins = origins.where("node_id is not null").select("node_id").distinct()
+    edges = written(edges.where(F.col("length_m") <= cutoff).select("src", "dst", "length_m"), "edges")
     if edges.limit(local_edges + 1).count() <= local_edges:
         return reach_local(origins, edges, cutoff)
     return reach_tiles(origins, edges, nodes, cutoff)

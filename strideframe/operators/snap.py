@@ -15,7 +15,7 @@ _DEGREE_M = 111_194.0
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, *, start_m: float | None = None) -> DataFrame:
-    """``points`` (lat, lon and any columns) with ``node_id`` and ``distance_m`` of the nearest node, however far; ties, to a micrometre, go to the smaller id.
+    """``points`` (lat, lon and any columns) with ``node_id`` and ``distance_m`` of the nearest node, however far; ties, to a micrometre, go to the smaller id.  A point without a position stays, with nulls.
 
     Points and nodes meet in an equi-join on bins: each point looks into the 3 x 3
     bins around it and its best is final if it lies within one bin's width, as
@@ -26,15 +26,17 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, *, start_m: float | None
         raise ValueError("the graph has no node")
     north, south, east, west, count = nodes.select(F.max("lat"), F.min("lat"), F.max("lon"), F.min("lon"), F.count("*")).first()
     p_north, p_south, p_east, p_west = points.select(F.max("lat"), F.min("lat"), F.max("lon"), F.min("lon")).first()
-    kept = points.withColumn("__point", F.monotonically_increasing_id())
-    if p_north is None:
-        return points.withColumns({"node_id": F.lit(None).cast("long"), "distance_m": F.lit(None).cast("double")}).limit(0)
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    nowhere = points.where(~placed).withColumns({"node_id": F.lit(None).cast("long"), "distance_m": F.lit(None).cast("double")})
+    if p_north is None or p_east is None:
+        return nowhere
+    kept = points.where(placed).withColumn("__point", F.monotonically_increasing_id())
     high, low = max(north, p_north), min(south, p_south)
     shrink = max(0.01, math.cos(math.radians(max(abs(high), abs(low)))))
     extent = max(1.0, (high - low) * _DEGREE_M, (max(east, p_east) - min(west, p_west)) * _DEGREE_M)
     width = start_m or max(1.0, math.sqrt(max(1.0, (north - south) * _DEGREE_M) * max(1.0, (east - west) * _DEGREE_M * shrink) / count) * 2)
-    todo, done = written(kept, "snap"), []
-    node = nodes.select(F.col("node_id").alias("__node"), F.col("lat").cast("double").alias("__lat"), F.col("lon").cast("double").alias("__lon"))
+    todo, done = written(kept, "snap"), [nowhere]
+    node = written(nodes.select(F.col("node_id").alias("__node"), F.col("lat").cast("double").alias("__lat"), F.col("lon").cast("double").alias("__lon")), "nodes")
     while True:
         by, bx = width / _DEGREE_M, width / _DEGREE_M / shrink
         bins = lambda lat, lon: (F.floor((lat - low) / by).cast("long"), F.floor((lon - min(west, p_west)) / bx).cast("long"))  # noqa: E731, B023

@@ -41,9 +41,10 @@ def snapped_cells(cells: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def scored_grid(nodes: DataFrame, ways: DataFrame, features: DataFrame, sizes: tuple[int, ...], *, cutoff: float = 500.0, caps: dict[str, int] = CAPS) -> DataFrame:
     """Scored cells of all grid sizes over the nodes' bounds.  Origins are the distinct nodes of all sizes, so each is searched once."""
-    cells = None
+    nodes, cells = written(nodes.select("node_id", "lat", "lon"), "nodes"), None
+    box = metric_box(nodes)
     for size in sizes:
-        made = grid_cells_rect(nodes.sparkSession, size, metric_box(nodes))
+        made = grid_cells_rect(nodes.sparkSession, size, box)
         cells = made if cells is None else cells.unionByName(made)
     placed = written(snapped_cells(cells, nodes), "cells")
     edges = graph_edges(way_segments(walkable_ways(ways)), nodes)
