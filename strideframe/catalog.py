@@ -126,7 +126,8 @@ def source_nodes(t):
     return _snapped(t).agg(F.countDistinct("node_id").alias("source_nodes"), F.count("*").alias("amenities"))
 
 
-# Origins in the twins of the distance queries, which themselves search from all nodes, and of the missing origins: nodes of even ids and, as cached, of ids divisible by 3.
+# Origins of the distance queries; wanted and cached origins of the query of missing ones.
+ALL_NODES = "SELECT node_id AS origin FROM nodes"
 EVEN = "SELECT node_id AS origin FROM nodes WHERE node_id % 2 = 0"
 BY_THREE = "SELECT node_id AS origin FROM nodes WHERE node_id % 3 = 0"
 
@@ -140,13 +141,13 @@ def reach_counts_500m(t):
     return _counts(t, t.nodes.select("node_id"))
 
 
-@query(sql("SELECT origin, node_id, round(d, 3) AS distance_m FROM reached", "hops", "nodes", origins=EVEN, reached=REACHED))
+@query(sql("SELECT origin, node_id, round(d, 3) AS distance_m FROM reached", "hops", "nodes", origins=ALL_NODES, reached=REACHED))
 def reach_distances_tiles(t):
     found = reach.reach_tiles(t.nodes.select("node_id"), _edges(t), t.nodes, CUTOFF)
     return found.select("origin", "node_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query(sql("SELECT origin, node_id, round(d, 3) AS distance_m FROM reached", "hops", "nodes", origins=EVEN, reached=REACHED))
+@query(sql("SELECT origin, node_id, round(d, 3) AS distance_m FROM reached", "hops", "nodes", origins=ALL_NODES, reached=REACHED))
 def reach_distances_rounds(t):
     found = reach.reach_rounds(t.nodes.select("node_id"), _edges(t), CUTOFF)
     return found.select("origin", "node_id", F.round("distance_m", 3).alias("distance_m"))
@@ -342,11 +343,45 @@ def import_readiness(t):
     return t.manifests.groupBy("extract_path").agg(F.count("*").alias("builds"), (F.count_if(F.col("status") == "complete") > 0).alias("ready"))
 
 
-@query(sql("SELECT category, osm_type, osm_id, k FROM (SELECT *, row_number() OVER (ORDER BY category, osm_type, osm_id) AS k FROM amenities) WHERE k <= 25", "amenities"))
+@query(sql("SELECT category, osm_type, osm_id, row_number() OVER (ORDER BY category, osm_type, osm_id) AS k FROM amenities", "amenities"))
 def amenity_rows_ordered(t):
     return publishing.numbered(scored_grid.amenities(t.features).select("category", "osm_type", "osm_id"), "category", "osm_type", "osm_id")
 
 
+@query(_grid_sql("SELECT resolution_m, cell_id, row_number() OVER (ORDER BY resolution_m, cell_id) AS k FROM scored"))
+def grid_rows_ordered(t):
+    return publishing.numbered(_scored(t).select("resolution_m", "cell_id"), "resolution_m", "cell_id")
+
+
+@query(_grid_sql("SELECT resolution_m, cell_id, total_score, row_number() OVER (ORDER BY resolution_m DESC, cell_id) AS k FROM scored WHERE resolution_m IN (200, 800)"))
+def grid_rows_by_resolutions(t):
+    rows = publishing.of_resolutions(_scored(t).select("resolution_m", "cell_id", "total_score"), [200, 800, 200])
+    return publishing.numbered(rows, F.desc("resolution_m"), "cell_id")
+
+
+@query(sql("SELECT category, osm_type || '/' || osm_id AS source_ref, row_number() OVER (ORDER BY category, osm_type || '/' || osm_id) AS k FROM amenities", "amenities"))
+def amenity_rows_by_source(t):
+    return publishing.numbered(scored_grid.amenities(t.features).select("category", "source_ref"), "category", "source_ref")
+
+
+@query(sql("SELECT category, count(*) AS n, row_number() OVER (ORDER BY CASE category WHEN 'shops' THEN 0 WHEN 'transport' THEN 1 WHEN 'healthcare' THEN 2 WHEN 'parks' THEN 3 ELSE 4 END, category) AS place FROM (SELECT coalesce(category, 'other ' || osm_type) AS category FROM classified) GROUP BY category", "classified"))
+def categories_in_order(t):
+    """Configured categories first, then others by name; one row a category."""
+    rows = _category(t).select(F.coalesce("category", F.concat(F.lit("other "), F.col("osm_type"))).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    names = grid.category_order([r["category"] for r in rows.select("category").collect()])  # a row a category
+    return rows.withColumn("place", F.array_position(F.array(*map(F.lit, names)), F.col("category")))
+
+
+@query(_grid_sql("SELECT cell_id, 'Walk score ' || printf('%.1f', total_score) || ' / 100' AS title, 'Resolution: ' || resolution_m || 'm' AS resolution, " + ", ".join(f"'{c.capitalize()}: ' || printf('%.1f', score_{c}) || ' points, ' || count_{c} || ' found' AS line_{c}" for c in CATEGORIES) + " FROM scored"))
+def cell_popups(t):
+    return scoring.cell_popup(_scored(t))
+
+
+@query(sql("SELECT osm_type, osm_id, CASE category WHEN 'shops' THEN '#2166ac' WHEN 'transport' THEN '#762a83' WHEN 'healthcare' THEN '#d6604d' WHEN 'parks' THEN '#1a9850' ELSE '#888888' END AS color FROM classified", "classified"))
+def category_colors(t):
+    return _category(t).select("osm_type", "osm_id", scoring.category_color(F.col("category")).alias("color"))
+
+
 @query("SELECT event_id, CAST(coalesce(json_extract(props, '$.k'), '0') AS INTEGER) AS k, CAST(coalesce(json_extract(props, '$.missing'), '0') AS INTEGER) AS missing FROM events")
 def json_defaults(t):
     take = lambda name: F.coalesce(F.get_json_object("props", f"$.{name}").cast("int"), F.lit(0)).alias(name)
@@ -359,16 +394,47 @@ def timing_totals(t):
 
 
 def _tile_sql(lon: str, lat: str) -> tuple[str, str]:
-    x = f"greatest(0, least(pow(2, z) - 1, floor(({lon} + 180) / 360 * pow(2, z))))::INTEGER"
-    y = f"greatest(0, least(pow(2, z) - 1, floor((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * pow(2, z))))::INTEGER"
+    x = f"greatest(0, least(pow(2, z) - 1, floor({_tile_at(lon, lat)[0]})))::INTEGER"
+    y = f"greatest(0, least(pow(2, z) - 1, floor({_tile_at(lon, lat)[1]})))::INTEGER"
     return x, y
 
 
-@query(sql("SELECT z, {} AS x, {} AS y, osm_type, osm_id FROM amenities, (SELECT unnest([9, 12, 14]) AS z)".format(*_tile_sql("lon", "lat")), "amenities"))
+def _tile_at(lon: str, lat: str) -> tuple[str, str]:
+    """Unrounded positions in tiles."""
+    return f"(({lon} + 180) / 360 * pow(2, z))", f"((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * pow(2, z))"
+
+
+def _first_sql(at: str) -> str:
+    """The first tile that a position meets: on an edge the one before it."""
+    return f"greatest(0, least(pow(2, z) - 1, ceil({at}) - 1))::INTEGER"
+
+
+AMENITY_TILES = """SELECT z, x, y, osm_type, osm_id FROM (SELECT z, osm_type, osm_id, {} AS xa, {} AS xb, {} AS ya, {} AS yb FROM amenities, (SELECT unnest(range(9, 15))::INTEGER AS z)),
+  LATERAL (SELECT unnest(range(xa, xb + 1))::INTEGER AS x), LATERAL (SELECT unnest(range(ya, yb + 1))::INTEGER AS y)""".format(_first_sql(_tile_at("lon", "lat")[0]), _tile_sql("lon", "lat")[0], _first_sql(_tile_at("lon", "lat")[1]), _tile_sql("lon", "lat")[1])
+
+
+@query(sql(AMENITY_TILES, "amenities"))
 def tile_assign_amenities(t):
     return tiles.assign_points(scored_grid.amenities(t.features), (AMENITY_ZOOM, TILE_ZOOMS[1])).select("z", "x", "y", "osm_type", "osm_id")
 
 
+# Points on tiles' edges and corners, of exact binary positions: longitudes of the tiles of zoom 12, latitude 0.
+EDGES_SQL = "SELECT c_custkey AS k, c_custkey * 360 / 4096::DOUBLE - 180 + CASE WHEN c_custkey % 3 = 0 THEN 0.001 ELSE 0 END AS lon, CASE WHEN c_custkey % 2 = 0 THEN 0.0 ELSE 0.01 END::DOUBLE AS lat FROM customer WHERE c_custkey < 4096"
+
+
+@query(f"""WITH p AS ({EDGES_SQL}) SELECT z, x, y, k FROM (SELECT z, k, {_first_sql(_tile_at('lon', 'lat')[0])} AS xa, {_tile_sql('lon', 'lat')[0]} AS xb, {_first_sql(_tile_at('lon', 'lat')[1])} AS ya, {_tile_sql('lon', 'lat')[1]} AS yb FROM p, (SELECT unnest([3, 12, 14])::INTEGER AS z)),
+  LATERAL (SELECT unnest(range(xa, xb + 1))::INTEGER AS x), LATERAL (SELECT unnest(range(ya, yb + 1))::INTEGER AS y)""")
+def tile_edge_points(t):
+    """Points on edges are in the tiles of both sides, at three zooms."""
+    k = F.col("c_custkey")
+    points = t.table("customer").where(k < 4096).select(k.alias("k"), (k * 360 / F.lit(4096.0) - 180 + F.when(k % 3 == 0, 0.001).otherwise(0.0)).alias("lon"), F.when(k % 2 == 0, 0.0).otherwise(0.01).alias("lat"))
+    out = None
+    for z in (3, 12, 14):
+        made = tiles.assign_points(points, (z, z))
+        out = made if out is None else out.unionByName(made)
+    return out.select("z", "x", "y", "k")
+
+
 def _corner_sql(x: str, y: str) -> str:
     return _inverse_sql(f"(SELECT cell_id, {x} AS x, {y} AS y FROM cells)", "cell_id")
 
@@ -388,12 +454,53 @@ def cell_envelopes(t):
     return _boxes(_cells(t)).select("cell_id", *(F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")))
 
 
-@query(sql("""SELECT z, x, y, cell_id FROM (SELECT cell_id, z, {} AS xa, {} AS xb, {} AS ya, {} AS yb FROM envelopes, (SELECT unnest([14, 15, 16]) AS z)),
-  LATERAL (SELECT unnest(range(xa, xb + 1))::INTEGER AS x), LATERAL (SELECT unnest(range(ya, yb + 1))::INTEGER AS y)""".format(_tile_sql("west", "0")[0], _tile_sql("east", "0")[0], _tile_sql("0", "north")[1], _tile_sql("0", "south")[1]), "nodes", metric=METRIC, bounds=BOUNDS, cells=CELLS, envelopes=ENVELOPES))
+CELL_TILES = """SELECT z, x, y, cell_id, resolution_m FROM (SELECT cell_id, resolution_m, z, {} AS xa, {} AS xb, {} AS ya, {} AS yb FROM envelopes JOIN (SELECT cell_id, resolution_m FROM cells) USING (cell_id), (SELECT unnest({{}})::INTEGER AS z)),
+  LATERAL (SELECT unnest(range(xa, xb + 1))::INTEGER AS x), LATERAL (SELECT unnest(range(ya, yb + 1))::INTEGER AS y)""".format(_first_sql(_tile_at("west", "0")[0]), _tile_sql("east", "0")[0], _first_sql(_tile_at("0", "north")[1]), _tile_sql("0", "south")[1])
+
+
+@query(sql(f"SELECT z, x, y, cell_id FROM ({CELL_TILES.format([14, 15, 16])})", "nodes", metric=METRIC, bounds=BOUNDS, cells=CELLS, envelopes=ENVELOPES))
 def tile_grid_features(t):
     return tiles.assign_boxes(_boxes(_cells(t)), (14, 16), resolutions=False).select("z", "x", "y", "cell_id")
 
 
+#: The level of detail on the derived grid: sizes by zoom as the map's, a size class finer each.
+DETAIL = {20000: 800, 10000: 400, 5000: 200}
+
+
+@query(sql(f"SELECT z, x, y, cell_id FROM ({CELL_TILES.format(list(range(5, 15)))}) WHERE resolution_m = CASE WHEN z >= 11 THEN 200 WHEN z >= 8 THEN 400 ELSE 800 END", "nodes", metric=METRIC, bounds=BOUNDS, cells=CELLS, envelopes=ENVELOPES))
+def tile_grid_by_zoom(t):
+    """Cells with their tiles at the zooms that draw their size."""
+    drawn = _boxes(_cells(t)).replace({v: k for k, v in DETAIL.items()}, subset=["resolution_m"])
+    return tiles.assign_boxes(drawn, TILE_ZOOMS).select("z", "x", "y", "cell_id")
+
+
+CORNERS = [("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy")]
+
+
+def _apart_sql(sides: list, points: list) -> str:
+    tests = []
+    for (x1, y1), (x2, y2) in zip(sides, sides[1:] + sides[:1]):  # noqa: B905
+        away = ", ".join(f"({x2} - {x1}) * ({py} - {y1}) - ({y2} - {y1}) * ({px} - {x1})" for px, py in points)
+        tests.append(f"greatest({away}) < 0")
+    return " OR ".join(tests)
+
+
+_TILE = [(f"({x} / pow(2, z) * 360 - 180)", f"degrees(atan(sinh(pi() * (1 - 2 * {y} / pow(2, z)))))") for x, y in (("x", "(y + 1)"), ("(x + 1)", "(y + 1)"), ("(x + 1)", "y"), ("x", "y"))]
+_CELL = [(f"lon{i}", f"lat{i}") for i in range(4)]
+EXACT = "SELECT a.cell_id, " + ", ".join(f"q{i}.lon AS lon{i}, q{i}.lat AS lat{i}" for i in range(4)) + " FROM (SELECT cell_id FROM cells) a " + " ".join(f"JOIN ({_corner_sql(x, y)}) q{i} USING (cell_id)" for i, (x, y) in enumerate(CORNERS))
+
+
+@query(sql(f"SELECT z, x, y, cell_id FROM ({CELL_TILES.format([17])}) JOIN exact USING (cell_id) WHERE NOT ({_apart_sql(_CELL, _TILE)} OR {_apart_sql(_TILE, _CELL)})", "nodes", metric=METRIC, bounds=BOUNDS, cells=CELLS, envelopes=ENVELOPES, exact=EXACT))
+def tile_grid_exact(t):
+    """Cells with the tiles that they themselves meet, not only their boxes."""
+    placed = _boxes(_cells(t))
+    for i, (x, y) in enumerate(CORNERS):
+        lon, lat = G.inverse(F.col(x), F.col(y))
+        placed = placed.withColumns({f"lon{i}": lon, f"lat{i}": lat})
+    made = tiles.assign_boxes(placed, (17, 17), resolutions=False)
+    return made.where(tiles.corners_meet(_CELL, F.col("z"), F.col("x"), F.col("y"))).select("z", "x", "y", "cell_id")
+
+
 @query("SELECT z::INTEGER AS z, CASE WHEN z >= 11 THEN 5000 WHEN z >= 8 THEN 10000 ELSE 20000 END AS resolution_m FROM (SELECT unnest(range(5, 15)) AS z)")
 def zoom_resolution(t):
     return t.spark.range(5, 15).select(F.col("id").cast("int").alias("z")).withColumn("resolution_m", geo.zoom_resolution(F.col("z")))
@@ -419,14 +526,20 @@ def score_color_ramp(t):
 
 @query()
 def mvt_tiles(t):
-    """Both layers' tiles with their ids and sizes."""
+    """Both layers' tiles of all zooms with their ids and sizes; the grid by its level of detail."""
     points = scored_grid.amenities(t.features).withColumn("source", F.lit("osm_local_pbf"))
-    cells = _boxes(_scored(t).withColumn("size", F.col("resolution_m")))
-    made = tiles.joined_tiles(tiles.grid_tiles(cells, (TILE_ZOOMS[0], 15), resolutions=False), tiles.amenity_tiles(points, (AMENITY_ZOOM, 15)))
+    cells = _boxes(_scored(t)).replace({v: k for k, v in DETAIL.items()}, subset=["resolution_m"]).withColumn("size", F.col("resolution_m"))
+    made = tiles.joined_tiles(tiles.grid_tiles(cells, TILE_ZOOMS), tiles.amenity_tiles(points, (AMENITY_ZOOM, TILE_ZOOMS[1])))
     return made.select("z", "x", "y", "tile_id", F.length("mvt").alias("bytes"))
 
 
-@query()
+HILBERT = """SELECT z, x, y, x AS hx, y AS hy, ((pow(4, z) - 1) / 3)::BIGINT AS d, z - 1 AS k FROM tiles
+  UNION ALL SELECT z, x, y, CASE WHEN ry = 0 THEN fy ELSE fx END, CASE WHEN ry = 0 THEN fx ELSE fy END, d + half * half * CASE WHEN rx = 1 THEN 3 - ry ELSE ry END, k - 1 FROM (
+    SELECT *, CASE WHEN ry = 0 AND rx = 1 THEN half - 1 - hx % half ELSE hx % half END AS fx, CASE WHEN ry = 0 AND rx = 1 THEN half - 1 - hy % half ELSE hy % half END AS fy FROM (
+      SELECT *, (hx // half) % 2 AS rx, (hy // half) % 2 AS ry FROM (SELECT *, pow(2, k)::BIGINT AS half FROM hilbert WHERE k >= 0)))"""
+
+
+@query(sql("SELECT z, x, y, d AS tile_id FROM hilbert WHERE k = -1", "amenities", assigned=AMENITY_TILES, tiles="SELECT DISTINCT z, x::BIGINT AS x, y::BIGINT AS y FROM assigned", hilbert=HILBERT))
 def tile_ids(t):
     """Hilbert ids of the amenities' tiles."""
     return tile_assign_amenities(t).select("z", "x", "y").distinct().withColumn("tile_id", geo.hilbert_id(F.col("z"), F.col("x"), F.col("y")))

@@ -9,6 +9,7 @@ import platform
 from dataclasses import asdict, dataclass, field
 from importlib import metadata
 from pathlib import Path
+from urllib.parse import parse_qsl, unquote, urlencode, urlsplit
 
 #: Categories in their order, with the count that earns full points.
 CAPS = {"shops": 5, "transport": 5, "healthcare": 3, "parks": 2}
@@ -59,16 +60,17 @@ def hash_of(payload: dict) -> str:
     return hashlib.sha256(json.dumps(payload, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
+#: Digits of a content hash, and what stands for a file that can't be read.
+CONTENT_DIGITS, UNREADABLE = 16, "missing"
+
+
 def content_hash(path: str | Path) -> str:
-    """The first 16 hex digits of a file's SHA-256; ``missing`` where it can't be read."""
-    digest = hashlib.sha256()
+    """The first digits of a file's SHA-256."""
     try:
         with open(path, "rb") as f:
-            while block := f.read(1 << 16):
-                digest.update(block)
+            return hashlib.file_digest(f, "sha256").hexdigest()[:CONTENT_DIGITS]
     except OSError:
-        return "missing"
-    return digest.hexdigest()[:16]
+        return UNREADABLE
 
 
 #: Fields of each tier; a tier's hash also covers the tier before it.
@@ -81,8 +83,9 @@ TIERS = {
 
 
 def tier_hashes(config: ScoringConfig, import_fingerprint: str | None = None) -> dict[str, str]:
-    """Hashes of geo, reach, score and render, each over its own fields and its predecessor; ``config`` and, for an import, ``build``."""
+    """Hashes of geo, reach, score and render, each over its own fields and its predecessor; ``config`` and, for an import, ``build``.  The order of grid sizes and of zoom breaks moves no hash."""
     values, found, before = asdict(config), {}, import_fingerprint
+    values |= {n: sorted(values[n]) for n in ("grid_sizes_m", "zoom_breaks")}
     for tier, names in TIERS.items():
         own = {n: values[n] for n in names} | ({"tags": TAG_RULES} if tier == "reach" else {})
         before = found[tier] = hash_of({"tier": tier, "before": before, **own})
@@ -93,12 +96,17 @@ def tier_hashes(config: ScoringConfig, import_fingerprint: str | None = None) ->
     return found
 
 
-def check_extract(path: str) -> Path:
-    """An extract's path; raises where it isn't an existing ``.osm.pbf`` file."""
-    if path.endswith(".pdf"):
+def check_extract_name(path: str) -> None:
+    """Raises where a name, in letters of either case, doesn't end in ``.osm.pbf``."""
+    if path.lower().endswith(".pdf"):
         raise ValueError(f"{path} ends with .pdf; .osm.pbf is meant")
-    if not path.endswith(".osm.pbf"):
+    if not path.lower().endswith(".osm.pbf"):
         raise ValueError(f"{path} is no .osm.pbf file")
+
+
+def check_extract(path: str) -> Path:
+    """An extract's path on this machine; raises where it isn't an existing ``.osm.pbf`` file."""
+    check_extract_name(path)
     if not Path(path).is_file():
         raise FileNotFoundError(path)
     return Path(path)
@@ -114,7 +122,11 @@ def import_fingerprint(extract: str, importer_version: str, rules: dict | None =
     return hash_of({"extract": extract, "importer_version": importer_version, "rules": rules or TAG_RULES})
 
 
-def environment(packages: tuple[str, ...] = ("pyspark", "pyarrow", "pandas", "numpy", "duckdb")) -> dict[str, str]:
+#: The packages whose versions a snapshot holds: those that results depend on.
+PACKAGES = ("pyspark", "py4j", "pyarrow", "pandas", "numpy", "duckdb", "tokenizers", "xxhash", "regex", "zstandard")
+
+
+def environment(packages: tuple[str, ...] = PACKAGES) -> dict[str, str]:
     """The Python version and those of packages, ``unknown`` for one that is missing."""
     found = {"python": platform.python_version()}
     for name in packages:
@@ -125,6 +137,42 @@ def environment(packages: tuple[str, ...] = ("pyspark", "pyarrow", "pandas", "nu
     return found
 
 
+#: Names of the settings of a database, and hosts that need no password.
+DATABASE_SETTINGS = ("DATABASE_URL", "POSTGRES_HOST", "POSTGRES_PORT", "POSTGRES_DB", "POSTGRES_USER", "POSTGRES_PASSWORD")
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1")
+
+
+def jdbc_options(settings: dict[str, str]) -> dict[str, str]:
+    """Options of Spark's JDBC source from a URL (``postgres://`` and ``postgresql://``, also with a driver's name) or single settings; a query's ``ssl`` entries go on as they are.
+
+    Raises where settings are missing, and where a host that isn't local has no password.
+    """
+    if url := settings.get("DATABASE_URL"):
+        parts = urlsplit(url)
+        if parts.scheme.split("+")[0] not in ("postgres", "postgresql"):
+            raise ValueError(f"{parts.scheme} is no PostgreSQL address")
+        host, port, name = parts.hostname, parts.port or 5432, parts.path.lstrip("/")
+        user, password, more = unquote(parts.username or ""), unquote(parts.password or ""), parts.query
+    else:
+        if missing := [n for n in DATABASE_SETTINGS[1:] if n != "POSTGRES_PORT" and not settings.get(n)]:
+            raise RuntimeError(f"no database: set {DATABASE_SETTINGS[0]} or {', '.join(missing)}")
+        host, name, user, password = (settings[n] for n in ("POSTGRES_HOST", "POSTGRES_DB", "POSTGRES_USER", "POSTGRES_PASSWORD"))
+        port, more = settings.get("POSTGRES_PORT") or 5432, ""
+    if not host or not name:
+        raise ValueError("a database address has a host and a name")
+    if not password and host not in LOCAL_HOSTS:
+        raise ValueError(f"{host} needs a password")
+    ssl = {k: v for k, v in parse_qsl(more) if k.startswith("ssl")}
+    query = f"?{urlencode(ssl)}" if ssl else ""
+    shown = f"[{host}]" if ":" in host else host
+    return {"url": f"jdbc:postgresql://{shown}:{port}/{name}{query}", "driver": "org.postgresql.Driver"} | {k: v for k, v in (("user", user), ("password", password)) if v}
+
+
+def quoted(identifier: str) -> str:
+    """An identifier for Spark SQL."""
+    return f"`{identifier.replace('`', '``')}`"
+
+
 def parse_bbox(text: str) -> tuple[float, float, float, float]:
     """``minlat,minlon,maxlat,maxlon`` with blanks allowed; raises ValueError else."""
     parts = [p.strip() for p in text.split(",")]
@@ -155,4 +203,4 @@ def same_box(a: tuple | None, b: tuple | None, tolerance: float = 1e-9) -> bool:
 
 def hms(seconds: float) -> str:
     whole = max(0, int(seconds))
-    return f"{whole // 3600}:{whole % 3600 // 60:02d}:{whole % 60:02d}"
+    return f"{whole // 3600:02d}:{whole % 3600 // 60:02d}:{whole % 60:02d}"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.config import CAPS, EXCLUDED_HIGHWAYS, FORBIDDEN_ACCESS, POINTS, SCORE_COLORS, TAG_RULES
+from strideframe.config import CAPS, CATEGORIES, CATEGORY_COLORS, EXCLUDED_HIGHWAYS, FORBIDDEN_ACCESS, OTHER_COLOR, POINTS, SCORE_COLORS, TAG_RULES
 
 
 def feature_category(tags: Column, rules: list[tuple[str, str, list | None]] = TAG_RULES) -> Column:
@@ -47,3 +47,22 @@ def score_color(score: Column, stops: list[tuple[int, str]] = SCORE_COLORS) -> C
         channels = [F.lpad(F.lower(F.hex(F.round(part(a, k) + (score - low) / (high - low) * (part(b, k) - part(a, k))).cast("long"))), 2, "0") for k in range(3)]
         out = F.when(score < high, F.concat(F.lit("#"), *channels)).otherwise(out)
     return out
+
+
+def category_color(category: Column, colors: dict[str, str] = CATEGORY_COLORS, other: str = OTHER_COLOR) -> Column:
+    """A category's colour; that of others for null and unknown ones."""
+    return F.coalesce(*(F.when(category == c, F.lit(v)) for c, v in colors.items()), F.lit(other))
+
+
+def popup(category: str) -> Column:
+    """A category's line in a cell's popup, from the columns ``score_`` and ``count_`` of it; what is null counts as 0."""
+    points = F.format_string("%.1f", F.coalesce(F.col(f"score_{category}").cast("double"), F.lit(0.0)))
+    found = F.coalesce(F.col(f"count_{category}"), F.lit(0)).cast("string")
+    return F.concat(F.lit(f"{category.capitalize()}: "), points, F.lit(" points, "), found, F.lit(" found"))
+
+
+def cell_popup(rows: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """cell_id, title, resolution and a line for each category, as a map shows them."""
+    title = F.concat(F.lit("Walk score "), F.format_string("%.1f", F.coalesce(F.col("total_score").cast("double"), F.lit(0.0))), F.lit(" / 100"))
+    size = F.concat(F.lit("Resolution: "), F.coalesce(F.col("resolution_m").cast("string"), F.lit("?")), F.lit("m"))
+    return rows.select(F.coalesce("cell_id", F.lit("unknown")).alias("cell_id"), title.alias("title"), size.alias("resolution"), *(popup(c).alias(f"line_{c}") for c in categories))

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from strideframe.config import hms
 
+#: The phases in their order.
 PHASES = ("geometry", "import", "amenities", "networks", "reachability", "grids", "publish")
 
 
@@ -35,33 +36,47 @@ class Progress:
     def part(self, name: str, seconds: float) -> None:
         self.parts[self.phase or "", name] += max(0.0, seconds)
 
+    def _left_here(self) -> float | None:
+        """This phase by its own rate after 10 s or a twentieth, else by its history: the part that isn't done, or, without a count of units, what is left of it."""
+        if not self.phase:
+            return 0.0
+        spent, usual = self.clock() - self.began, self.history.get(self.phase)
+        if not self.total:
+            return None if usual is None else max(0.0, usual - spent)
+        share = min(1.0, self.done / self.total)
+        if share and (spent >= 10 or share >= 0.05):
+            return spent / share - spent
+        return 0.0 if share == 1 else None if usual is None else usual * (1 - share)
+
     def left(self) -> float | None:
-        """This phase at its own rate (after 10 s or a twentieth), else by history; then the history of later phases that are expected."""
-        now = 0.0
-        if self.phase:
-            spent, share = self.clock() - self.began, self.done / self.total if self.total else 0.0
-            if share and (spent >= 10 or share >= 0.05):
-                now = spent / share - spent
-            elif self.phase in self.history:
-                now = self.history[self.phase] * (1 - share)
-            else:
-                return None
+        """Seconds that are left of this phase and, by history, of the expected ones behind it; None where one of them is unknown."""
         later = PHASES[PHASES.index(self.phase) + 1 :] if self.phase else [p for p in PHASES if p not in self.seconds]
-        return now + sum(self.history.get(p, 0.0) for p in later if p in self.expected)
+        parts = [self._left_here(), *(self.history.get(p) for p in later if p in self.expected)]
+        return None if None in parts else sum(parts)
 
     def line(self) -> str:
         left = self.left()
         return f"{self.phase}: {self.done}/{self.total}, {'unknown' if left is None else hms(left)} left"
 
-    def save(self, path: str | Path) -> None:
+    def timings(self) -> str:
         self.finish()
-        Path(path).write_text(json.dumps({"seconds": self.seconds, "parts": {f"{a}/{b}": s for (a, b), s in self.parts.items()}}))
+        return json.dumps({"seconds": self.seconds, "parts": {f"{a}/{b}": s for (a, b), s in self.parts.items()}})
 
+    def save(self, path: str | Path) -> None:
+        Path(path).write_text(self.timings())
 
-def load_history(path: str | Path) -> dict[str, float]:
-    """Seconds by phase of an earlier run; nothing for a missing or broken file, negative or unknown entries."""
+
+def history_of(timings: str | None) -> dict[str, float]:
+    """Seconds by phase from an earlier run's timings; nothing for missing or broken ones, negative or unknown entries."""
     try:
-        found = json.loads(Path(path).read_text())["seconds"]
+        found = json.loads(timings or "")["seconds"]
         return {k: float(v) for k, v in found.items() if k in PHASES and isinstance(v, (int, float)) and v >= 0}
-    except (OSError, ValueError, KeyError, TypeError, AttributeError):
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return {}
+
+
+def load_history(path: str | Path) -> dict[str, float]:
+    try:
+        return history_of(Path(path).read_text())
+    except OSError:
         return {}

@@ -92,7 +92,7 @@ def make_server(state, archive: Path, static: Path, *, host: str = "127.0.0.1",
                 self._send(416, b"", Content_Range=f"bytes */{size}")
                 return
             first, last = span or (0, size - 1)
-            headers = {"Accept_Ranges": "bytes", "Content_Length": str(last - first + 1), "Content_Type": "application/octet-stream"}
+            headers = {"Cache_Control": "public, max-age=3600", "Accept_Ranges": "bytes", "Content_Length": str(last - first + 1), "Content_Type": "application/octet-stream"}
             self._send(206 if span else 200, b"", **headers, **({"Content_Range": f"bytes {first}-{last}/{size}"} if span else {}))
             if body:
                 with archive.open("rb") as f:

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strideframe.config import check_extract_name
+
 SCHEMA = "osm_type string, osm_id long, tags map<string,string>, lat double, lon double, refs array<long>, members array<struct<type:string,ref:long,role:string>>"
 
 
@@ -153,10 +155,7 @@ class OsmPbf(DataSource):
 
     def reader(self, schema) -> _Reader:
         path = self.options["path"]
-        if path.endswith(".pdf"):
-            raise ValueError(f"{path} ends with .pdf; .osm.pbf is meant")
-        if not path.endswith(".osm.pbf"):
-            raise ValueError(f"{path} is no .osm.pbf file")
+        check_extract_name(path)
         return _Reader(path, self.options.get("kinds", "NWR"), int(self.options.get("blobsPerTask", 8)))
 
 

@@ -169,7 +169,7 @@ def test_tiers(spark, tmp_path):
 
 def test_progress(tmp_path):
     now = [0.0]
-    p = Progress({"amenities": 20.0, "publish": 5.0}, lambda: now[0])
+    p = Progress({"amenities": 20.0, "publish": 5.0}, lambda: now[0], ("import", "amenities", "publish"))
     p.start("import")
     assert p.left() is None
     now[0] = 12.0
@@ -177,11 +177,16 @@ def test_progress(tmp_path):
     assert p.left() == 36.0 + 25.0
     p.start("amenities")
     assert p.left() == 25.0 and p.seconds == {"import": 12.0}
+    now[0] = 15.0
+    assert p.left() == 22.0  # without units the time that has passed is taken off
+    p.update(1, 100)
+    assert p.left() == 20.0 * 0.99 + 5.0
+    assert Progress({"import": 3.0}, lambda: now[0], ("import", "grids")).left() is None  # a later phase without history
     p.save(tmp_path / "t.json")
     assert load_history(tmp_path / "t.json")["import"] == 12.0
     (tmp_path / "t.json").write_text('{"seconds": {"import": -1, "other": 3, "grids": 2}}')
     assert load_history(tmp_path / "t.json") == {"grids": 2.0} and load_history(tmp_path / "none") == {}
-    assert config.hms(-3) == "0:00:00" and config.hms(3725) == "1:02:05"
+    assert config.hms(-3) == "00:00:00" and config.hms(3725) == "01:02:05"
 
 
 def test_readiness():
