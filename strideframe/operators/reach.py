@@ -126,6 +126,14 @@ def check_known(ids: DataFrame, nodes: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: node {lost['node_id']} is not in the graph")
 
 
+def checked_weights(records: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Weights (node_id, category, n) from elsewhere; raises where a node isn't the graph's or a count isn't positive."""
+    check_known(records.select("node_id"), nodes, "weights")
+    if (odd := records.where("n IS NULL OR n <= 0 OR category IS NULL").first()) is not None:
+        raise ValueError(f"weights: node {odd['node_id']} has {odd['n']} of {odd['category']}")
+    return records.groupBy("node_id", "category").agg(F.sum("n").cast("long").alias("n"))
+
+
 def amenity_weights(snapped: DataFrame) -> DataFrame:
     """node_id, category, n: amenities at each node; each counts, also at one place."""
     return snapped.groupBy("node_id", "category").agg(F.count("*").alias("n"))

@@ -65,3 +65,16 @@ def csr_edges(spark: SparkSession, offsets: np.ndarray, targets: np.ndarray, len
 
     src = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets.astype(np.int64)))
     return spark.createDataFrame(pd.DataFrame({"src": src, "dst": targets.astype(np.int64), "length_m": lengths}), EDGES).select("src", "dst", F.col("length_m"))
+
+
+def read_weights(spark: SparkSession, path: str | Path, categories: tuple[str, ...]) -> DataFrame:
+    """node_id, category, n from a file of fixed-width records: a node's number and a count for each category, all little-endian unsigned 32-bit integers."""
+    import pandas as pd
+
+    values = read_array(path, "<u4")
+    width = len(categories) + 1
+    if len(values) % width:
+        raise ValueError(f"{path}: {len(values)} values are no whole records of {width}")
+    table = pd.DataFrame(values.reshape(-1, width).astype(np.int64), columns=["node_id", *categories])
+    wide = spark.createDataFrame(table) if len(table) else spark.createDataFrame([], ", ".join(f"`{c}` long" for c in table.columns))
+    return wide.unpivot("node_id", list(categories), "category", "n").where("n > 0")

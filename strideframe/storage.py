@@ -6,6 +6,7 @@ import atexit
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only in local sessions that name no checkpoint folder (tests, trials).
@@ -62,13 +63,17 @@ def file_state(spark: SparkSession, path: str) -> dict | None:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small file's text, or None."""
+    """A small file's text; None where there is none or it doesn't match its checksum."""
     store, target = _at(spark, path)
     if not store.exists(target):
         return None
     stream = store.open(target)
     try:
         return bytes(stream.readAllBytes()).decode("utf-8", "replace")
+    except Py4JJavaError as e:
+        if "ChecksumException" in str(e):
+            return None
+        raise
     finally:
         stream.close()
 
