@@ -267,19 +267,52 @@ EDGES = "a long, b long"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the ids in ``edges`` (a, b): the smallest id that edges reach, by alternating large-star and small-star rounds.  Each round is written to the shared folder, and so are the least neighbours, so that a hub's edges meet a plain table and skew handling can split them; nothing is collected but a fingerprint of the edges."""
+def _stars(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a task as stars: each id with the smallest one that the task's edges, up to ``most`` at once, reach."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1)]
+        ids, at = np.unique(np.concatenate(ends), return_inverse=True)
+        forest = Forest(len(ids))
+        for x, y in zip(at[: len(ends[0])].tolist(), at[len(ends[0]) :].tolist(), strict=True):
+            forest.join(x, y)
+        root = np.fromiter(map(forest.find, range(len(ids))), np.int64, len(ids))
+        leaf = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[leaf]), pa.array(ids[root[leaf]])], schema=_EDGES)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= most:
+            yield out(held)
+            held, size = [], 0
+    if held:
+        yield out(held)
+
+
+def components(edges: DataFrame, *, plain: int = 1_000_000) -> DataFrame:
+    """(id, component) of the ids in ``edges`` (a, b): the smallest id that edges reach.
+
+    Tasks contract their own edges to stars first; alternating large-star and
+    small-star rounds join these, until every id has one edge and none of its
+    own star's centre.  Each round is written to the shared folder.  Beyond
+    ``plain`` edges the least neighbours are written, too: a hub's edges then
+    meet a plain table, and skew handling can split them.
+    """
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def settled(df: DataFrame) -> bool:
+        ends = df.select(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(df.select(F.col("b").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty()
 
-    now, seen = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
-    while (found := mark(now)) != seen:
-        seen = found
+    now = stage(edges.select("a", "b").mapInArrow(_stars, EDGES).distinct(), "edges")
+    large_table = now.limit(plain + 1).count() > plain
+    least = lambda df: stage(df, "least") if large_table else df
+    while not settled(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        low = least(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = stage(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
-        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        low = least(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stage(small.unionByName(low.toDF("a", "b")).distinct(), "small-star")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
@@ -513,6 +546,7 @@ def link_texts(rows: DataFrame, *, num: int, den: int, n: int, chunk: int = 512,
             candidates = components(likely)
 
     # exact links: small components whole
+    whole = max(2, chunk // 4)
     both = stage(candidates.unionByName(candidates.select(F.col("component").alias("id"), "component")).distinct(), "candidates")
     sizes = stage(both.groupBy("component").agg(F.count("*").alias("n")), "candidate-sizes")
     few = both.limit(broadcast_ids + 1).count() <= broadcast_ids
@@ -524,19 +558,21 @@ def link_texts(rows: DataFrame, *, num: int, den: int, n: int, chunk: int = 512,
     def linked(work: DataFrame) -> DataFrame:
         return work.repartition(F.col("item")).sortWithinPartitions("item", "side", "id").mapInArrow(_exact(num, den), EDGES)
 
-    small = both.join(sizes.where(F.col("n") <= chunk // 2), "component").select(F.col("component").alias("item"), F.lit(0).alias("side"), "id")
+    small = both.join(sizes.where(F.col("n") <= whole), "component").select(F.col("component").alias("item"), F.lit(0).alias("side"), "id")
     edges = linked(small.join(sets_of(small), "id").select("item", "side", "id", "shingles"))
 
     # large ones: forests' edges first, then only what stays apart
-    large = both.join(sizes.where(F.col("n") > chunk // 2), "component").select("component", "id")
+    large = both.join(sizes.where(F.col("n") > whole), "component").select("component", "id")
     if not large.isEmpty():
         large = stage(large, "large")
         own = stage(sets_of(large), "large-sets")
-        asked = likely.distinct().join(large.select(F.col("id").alias("a")), "a")
+        # of each id's edges to smaller ones the first and the last
+        down = likely.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(large.select(F.col("id").alias("a")), "a")
+        asked = down.groupBy("a").agg(F.min("b").alias("p"), F.max("b").alias("q")).select("a", F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
         pairs = asked.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
         sure = stage(pairs.mapInArrow(_verified(num, den), EDGES), "verified")
         apart = large.join(components(sure).toDF("id", "sub"), "id", "left").select(F.col("component").alias("group"), F.coalesce("sub", "id").alias("sub"), "id")
-        met = cross_parts(apart, chunk // 2).join(own, "id").select("item", "side", "id", "shingles")
+        met = cross_parts(apart, max(1, chunk // 8)).join(own, "id").select("item", "side", "id", "shingles")
         edges = edges.unionByName(sure).unionByName(linked(met))
     texts = nodes.join(features.select(F.col("id").alias("node"), "size"), "node")
     return TextLinks(keys, texts, stage(edges, "links"))
