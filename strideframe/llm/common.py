@@ -1,49 +1,21 @@
-"""Helpers shared by the training-data operators: shared storage and Arrow plumbing."""
+"""Helpers shared by the training-data operators: tables in the shared folder and Arrow plumbing."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Used only where the session names no checkpoint folder (tests, local runs).
-LOCAL_CHECKPOINT_DIR = "file:///tmp/checkpoints/strideframe"
+from strideframe.storage import shared_dir, work_path, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session, else a local one that is set here."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINT_DIR)
-        found = LOCAL_CHECKPOINT_DIR
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended: the cluster's own clean-up of the folder applies
-        return
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
+__all__ = ["shared_dir", "small_batches", "split_batch", "stage", "with_fields", "work_path"]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, and runs ``df`` once."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, and runs ``df`` once."""
+    return written(df, name)
 
 
 def with_fields(df: DataFrame, ddl: str) -> StructType:

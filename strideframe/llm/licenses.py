@@ -152,21 +152,26 @@ def scan_licenses(docs: DataFrame, *, least: float = 0.8, templates: list[tuple[
     return found.select("doc_id", "x.license", F.round("x.dice", 9).alias("dice"), "x.n_units")
 
 
-def oracle_sql(least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES) -> str:
-    """The same rows in DuckDB, without pruning."""
-    quoted = ", ".join(f"({i}, '{name}', {[*bigrams_of(words)]!r})" for i, (name, words) in enumerate(sorted(templates)))
+def oracle_sql(least: float = 0.8, templates: list[tuple[str, str]] = TEMPLATES + TEXTS) -> str:
+    """The same rows in DuckDB, which makes the templates' bigrams itself; only pairs whose sizes can't reach ``least`` are left out."""
+    literal = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = ", ".join(f"({i}, {literal(name)}, {literal(words)})" for i, (name, words) in enumerate(sorted(templates)))
+    words = lambda x: f"string_split(trim(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), ' ')"
+    grams = "list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))"
+    ends = lambda x: f"string_split(regexp_replace({x}, '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
+    paragraphs = "regexp_split_to_array(text, '\\n[ \\t]*\\n')"
+    wrapped = f"flatten(list_transform({paragraphs}, lambda p: {ends('translate(p, chr(10), chr(32))')}))"
+    ratio = least / (2 - least) - 1e-9
     return f"""
-WITH t(k, license, bigrams) AS (VALUES {quoted}),
-d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL),
-u AS (
-  SELECT r, doc_id, unnest(list_distinct([text] || regexp_split_to_array(text, '\\n[ \\t]*\\n') || string_split(text, chr(10))
-    || string_split(regexp_replace(text, '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)))) AS unit FROM d
-), w AS (
-  SELECT r, doc_id, unit, string_split(trim(regexp_replace(translate(unit, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' '), ' ') AS words FROM u
-), b AS (
-  SELECT r, doc_id, unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS bigrams FROM w WHERE len(words) > 1 AND len(words) < 2000
-), s AS (
-  SELECT r, doc_id, unit, license, k, 2.0::DOUBLE * len(list_intersect(b.bigrams, t.bigrams)) / (len(b.bigrams) + len(t.bigrams)) AS dice FROM b, t
-), x AS (SELECT r, doc_id, unit, arg_max(license, dice * 1000 - k * 0.000001) AS license, max(dice) AS dice FROM s GROUP BY ALL HAVING max(dice) >= {least})
+WITH s(k, license, text) AS (VALUES {listed}),
+t AS MATERIALIZED (SELECT k, license, {grams} AS bigrams FROM (SELECT k, license, {words('text')} AS words FROM s)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT r, doc_id, unnest(list_distinct([text] || {paragraphs} || string_split(text, chr(10)) || {ends('text')} || {wrapped})) AS unit FROM d),
+w AS (SELECT r, doc_id, unit, {words('unit')} AS words FROM u),
+b AS (SELECT r, doc_id, unit, {grams} AS bigrams FROM w WHERE len(words) > 1),
+c AS (
+  SELECT r, doc_id, unit, license, k, 2.0::DOUBLE * len(list_intersect(b.bigrams, t.bigrams)) / (len(b.bigrams) + len(t.bigrams)) AS dice
+  FROM b JOIN t ON len(b.bigrams) >= {ratio!r}::DOUBLE * len(t.bigrams) AND len(t.bigrams) >= {ratio!r}::DOUBLE * len(b.bigrams)
+), x AS (SELECT r, doc_id, unit, arg_max(license, dice * 1000 - k * 0.000001) AS license, max(dice) AS dice FROM c GROUP BY ALL HAVING max(dice) >= {least})
 SELECT doc_id, license, round(max(dice), 9) AS dice, count(*) AS n_units FROM x GROUP BY r, doc_id, license
 """

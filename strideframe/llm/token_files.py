@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -113,25 +114,37 @@ def with_starts(index: DataFrame) -> DataFrame:
 
 
 class SequenceFile:
-    """Random access to one file: ``ids(at, n)`` are views of mapped batches (a copy only across sequences' batches)."""
+    """Random access to one file, by views of mapped batches: ``sequence(k)`` is sequence k and its mask, ``ids(at, n)`` are ids in parts, one a batch."""
 
     def __init__(self, uri: str):
         store, path = fs.FileSystem.from_uri(uri)
         self.reader = pa.ipc.open_file(pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path))
-        self.kept: OrderedDict[int, np.ndarray] = OrderedDict()
-        self.size = len(self.batch(0))
+        self.length = self.reader.schema.field("tokens").type.list_size
+        self.kept: OrderedDict[int, tuple[np.ndarray, pa.BooleanArray]] = OrderedDict()
+        self.size = len(self.batch(0)[0])
 
-    def batch(self, k: int) -> np.ndarray:
+    def batch(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask bits of a batch's sequences one after another."""
         if k not in self.kept:
-            self.kept[k] = self.reader.get_batch(k).column(0).flatten().to_numpy()
+            found = self.reader.get_batch(k)
+            self.kept[k] = found.column(0).flatten().to_numpy(), found.column(1).flatten()
             if len(self.kept) > 2:
                 self.kept.popitem(last=False)
         return self.kept[k]
 
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        number, at = divmod(k * self.length, self.size)
+        ids, mask = self.batch(number)
+        return ids[at : at + self.length], mask.slice(at, self.length)
+
     def ids(self, at: int, n: int) -> Iterator[np.ndarray]:
+        """Raises where the mask says that an id is padding."""
         while n:
             k, i = divmod(at, self.size)
-            part = self.batch(k)[i : i + n]
+            ids, mask = self.batch(k)
+            part = ids[i : i + n]
+            if len(part) == 0 or not pc.all(mask.slice(i, len(part))).as_py():
+                raise ValueError(f"no token at {at}")
             yield part
             at, n = at + len(part), n - len(part)
 

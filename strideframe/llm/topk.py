@@ -9,9 +9,13 @@ k-th best lower bound is the threshold, and candidates whose upper bound is
 below it are compacted away.  The first step runs for all queries of a block at
 once; after that each query follows its own survivors.
 
-Queries and candidates are packed into bounded blocks; each pair of blocks is a
-work item that is dealt to tasks by a key of its own, and its winners (k a
-query) meet in a window per query.  Nothing is broadcast or collected.
+Queries and candidates are packed into bounded blocks.  Candidate blocks are
+dealt to groups of about ``group`` blocks once and stay there; the far fewer
+query blocks are copied to every group and stream past its candidates, one at a
+time.  A task so holds one group's candidates and one query block.  From block
+to block each query carries its k-th best score, which later blocks prune with.
+The groups' winners (k a query) meet in a window per query.  Nothing is
+broadcast or collected.
 
 Components are floor(scale * x).  Scores are integers: sums run in doubles
 where every partial sum is below 2^53, else in Python integers, which stay
@@ -80,8 +84,8 @@ def _remaining(columns: np.ndarray, steps: list[slice]) -> list[np.ndarray]:
     return [np.sqrt(np.maximum(rest[k + 1], 0)) * (1 + 1e-9) if k + 1 < len(steps) else np.zeros(columns.shape[1]) for k in range(len(steps))]
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, step: int = 8) -> Iterator[tuple[int, int, int]]:
-    """(query, candidate, score) of each query's k best in a block; both blocks have a row per dimension."""
+def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int, step: int = 8, floor: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """(query's place, candidate, score) of each query's k best in a block; both blocks have a row per dimension.  ``floor``: for each query a score below which none is wanted."""
     biggest = float(np.abs(queries).max(initial=0)) * float(np.abs(columns).max(initial=0)) * max(1, len(columns))
     if not biggest < 2**53:
         yield from _search_large(query_ids, queries, ids, columns, k)
@@ -98,51 +102,76 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, co
         for at, query in enumerate(query_ids[part].tolist()):
             q, alive, score = queries[:, first + at], np.flatnonzero(ids != query), None
             score = start[at][alive]
+            least = -np.inf if floor is None else floor[first + at]
             for n, s in enumerate(steps):
+                if not len(alive):
+                    break
                 if n:
                     score = score + q[s] @ columns[s][:, alive]
                 slack = rest_q[n][first + at] * rest_c[n][alive]
-                if len(alive) > k:
+                if len(alive) > k or least > -np.inf:
                     low = score - slack
-                    keep = score + slack >= np.partition(low, len(low) - k)[len(low) - k]
+                    bound = max(least, np.partition(low, len(low) - k)[len(low) - k]) if len(alive) > k else least
+                    keep = score + slack >= bound
                     if n + 1 < len(steps) and keep.mean() > 0.9:
                         continue  # too few to compact
                     alive, score = alive[keep], score[keep]
             best = np.lexsort((ids[alive], -score))[:k]
-            yield from ((query, int(ids[alive[b]]), int(score[b])) for b in best)
+            yield from ((first + at, int(ids[alive[b]]), int(score[b])) for b in best)
 
 
 def _search_large(query_ids, queries, ids, columns, k):
     most = 2**63 - 1
     rows = [[int(x) for x in c] for c in columns.T.tolist()]
-    for query, q in zip(query_ids.tolist(), queries.T.tolist(), strict=True):
+    for place, (query, q) in enumerate(zip(query_ids.tolist(), queries.T.tolist(), strict=True)):
         q = [int(x) for x in q]
         scores = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(q, r, strict=True)))), int(i)) for i, r in zip(ids.tolist(), rows, strict=True) if i != query)
-        yield from ((query, i, -s) for s, i in scores[:k])
+        yield from ((place, i, -s) for s, i in scores[:k])
 
 
-def top_k(vectors: DataFrame, is_query: F.Column, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 2048, block: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: F.Column, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 2048, block: int = 8192, group: int = 64) -> DataFrame:
     """The k candidates of highest inner product for each query: query_id, rank (from 1), vec_id, score."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), is_query.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad)
+    total, n_queries = rows.agg(F.count("*"), F.count_if("is_query")).first()
     asked = rows.where("is_query").select("vec_id", "embedding")
-    queries = stage(_blocks(asked.repartition(max(1, -(-asked.count() // query_block))), scale, query_block), "query-blocks")
-    shapes = queries.groupBy("dims").agg(F.collect_list("block").alias("q_blocks"))  # a number for each block of queries
-    spread = max(1, 4 * vectors.sparkSession.sparkContext.defaultParallelism // max(1, queries.count()))
-    left = _blocks(rows.select("vec_id", "embedding"), scale, block).join(F.broadcast(shapes), "dims").withColumn("q_block", F.explode("q_blocks")).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(spread)))
-    right = queries.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    right = right.select(F.col("block").alias("q_block"), "salt", F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns"))
-    pairs = left.drop("q_blocks").join(right, ["q_block", "salt"])
+    queries = stage(_blocks(asked.repartition(max(1, -(-n_queries // query_block))), scale, query_block), "query-blocks")
+    blocks = max(1, -(-total // block))
+    groups = max(-(-blocks // group), min(blocks, 2 * vectors.sparkSession.sparkContext.defaultParallelism))
+    left = _blocks(rows.select("vec_id", "embedding"), scale, block).withColumns({"group": F.pmod(F.xxhash64("block"), F.lit(groups)), "side": F.lit(0)})
+    right = queries.withColumns({"group": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))), "side": F.lit(1)})
+    names = ["group", "side", "dims", "kind", "ids", "columns"]
+    met = left.select(names).unionByName(right.select(names)).repartition(F.col("group")).sortWithinPartitions("group", "side", "dims")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []  # the group's candidates: dims, kind, ids, columns
         for batch in batches:
             for i in range(batch.num_rows):
-                x = {n: batch.column(j)[i].as_py() for j, n in enumerate(names)}
-                matrix = lambda p, x=x: np.frombuffer(x[f"{p}columns"], x[f"{p}kind"]).reshape(x["dims"], -1).astype(np.float64)
-                found = list(search_block(np.frombuffer(x["q_ids"], "<i8"), matrix("q_"), np.frombuffer(x["ids"], "<i8"), matrix(""), k))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in range(3)], schema=_FOUND)
+                number, side, dims, kind, ids, columns = (batch.column(j)[i].as_py() for j in range(6))
+                if number != now:
+                    now, held = number, []
+                ids = np.frombuffer(ids, "<i8")
+                matrix = np.frombuffer(columns, kind).reshape(dims, -1)
+                if side == 0:
+                    held.append((dims, ids, matrix))
+                    continue
+                asked_, best = matrix.astype(np.float64), {}
+                floor = np.full(len(ids), -np.inf)
+                # winners go by place, as rows that repeat a query's id may ask other questions
+                for own, candidates, held_matrix in held:
+                    if own != dims:
+                        continue
+                    for place, vec, score in search_block(ids, asked_, candidates, held_matrix.astype(np.float64), k, floor=floor):
+                        best.setdefault(place, []).append((-score, vec))
+                    for place, found in best.items():
+                        if len(found) > k:
+                            best[place] = found = sorted(found)[:k]
+                        if len(found) == k:
+                            floor[place] = -max(found)[0]
+                rows_ = [(int(ids[place]), vec, -score) for place, found in best.items() for score, vec in sorted(found)[:k]]
+                for at in range(0, len(rows_), 65_536):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows_[at : at + 65_536]], pa.int64()) for c in range(3)], schema=_FOUND)
 
-    names = pairs.columns
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return pairs.mapInArrow(search, FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return met.mapInArrow(search, FOUND).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -72,6 +72,18 @@ def test_files_of_odd_rows(spark, docs, tokenizer):
         assert sum(int(np.sum(reader.get_batch(k).column("mask").flatten().to_numpy(zero_copy_only=False))) for k in range(reader.num_record_batches)) == n
 
 
+def test_sequences_by_number(docs, tokenizer):
+    index = token_files.write_token_files(docs([(k, f"word{k} and more") for k in range(40)]), tokenizer, 1, length=8, per_batch=3)
+    for uri in {r["file"] for r in index.collect()}:
+        file, n = token_files.SequenceFile(uri), sum(r["n_tokens"] for r in index.collect() if r["file"] == uri)
+        found = [file.sequence(k) for k in reversed(range(-(-n // 8)))][::-1]
+        assert all(len(i) == len(m) == 8 for i, m in found)
+        kept = np.concatenate([i[m.to_numpy(zero_copy_only=False)] for i, m in found])
+        assert kept.tolist() == np.concatenate(list(file.ids(0, n))).tolist() and not found[0][0].flags.owndata
+        with pytest.raises(ValueError):
+            list(file.ids(0, n + 1))
+
+
 def test_no_documents(docs, tokenizer):
     assert token_files.read_token_files(token_files.with_starts(token_files.write_token_files(docs([]), tokenizer, 1))).count() == 0
     assert packing.pack_documents(docs([]), tokenizer, 2).count() == 0

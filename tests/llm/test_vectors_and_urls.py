@@ -35,6 +35,15 @@ def test_odd_vectors(spark, big):
     assert topk.top_k(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_scores_carry_over_blocks_and_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rng.normal(size=(400, 20)).round(1))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute_top(rows, 4, 20)
+    for block, group, query_block in ((16, 2, 3), (64, 64, 2048), (7, 1, 5)):
+        assert sorted(map(tuple, topk.top_k(frame, F.col("vec_id") % 20 == 0, k=4, block=block, group=group, query_block=query_block).collect())) == want
+
+
 def test_repeated_rows(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [1.0]), (0, [2.0])], "vec_id long, embedding array<float>")
     got = topk.top_k(frame, F.col("vec_id") == 0, k=5).collect()
