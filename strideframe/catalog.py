@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from strideframe.config import AMENITY_ZOOM, CAPS, CATEGORIES, SCORE_COLORS, TILE_ZOOMS, expand_bbox, parse_bbox
 from strideframe.functions import geo, scoring
 from strideframe.operators import graph, grid, reach, snap, tiles
-from strideframe.operators.polygon import in_corridor, inside_expr
+from strideframe.operators.polygon import in_corridor, inside_expr, within_area
 from strideframe.plans import publishing, scored_grid
 from strideframe.plans.bridge import COUNTS, REACHED, Inputs, haversine_sql, nearest_sql, sql
+from strideframe.sources.features import meeting
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -262,6 +263,41 @@ def study_area_point_filter(t):
     return scored_grid.amenities(t.features, inside_expr(STUDY, F.col("lon"), F.col("lat"))).select("osm_type", "osm_id", "category")
 
 
+#: Half the side of the squares that stand for features' areas.
+HALF = 0.0015
+
+
+def _crossing_sql() -> str:
+    """Whether a side of the study area crosses one of a square (west, south, east, north)."""
+    points, tests = STUDY[0][0], []
+    for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1], strict=True):
+        for c in ("west", "east"):
+            tests.append(f"(({_n(x1)} - {c}) * ({_n(x2)} - {c}) < 0 AND {_n(y1)} + ({_n(y2)} - {_n(y1)}) * ({c} - {_n(x1)}) / ({_n(x2)} - {_n(x1)}) BETWEEN south AND north)")
+        for c in ("south", "north"):
+            if y1 != y2:
+                tests.append(f"(({_n(y1)} - {c}) * ({_n(y2)} - {c}) < 0 AND {_n(x1)} + ({_n(x2)} - {_n(x1)}) * ({c} - {_n(y1)}) / ({_n(y2)} - {_n(y1)}) BETWEEN west AND east)")
+    return " OR ".join(tests)
+
+
+SQUARES = f"SELECT osm_type, osm_id, category, lon - {HALF} AS west, lat - {HALF} AS south, lon + {HALF} AS east, lat + {HALF} AS north FROM amenities"
+
+
+@query(sql(f"SELECT osm_type, osm_id, category FROM squares WHERE {' OR '.join(_inside_sql(x, y) for x in ('west', 'east') for y in ('south', 'north'))} OR {' OR '.join(f'({_n(x)} BETWEEN west AND east AND {_n(y)} BETWEEN south AND north)' for x, y in STUDY[0][0])} OR {_crossing_sql()}", "amenities", squares=SQUARES))
+def study_area_intersects(t):
+    """Features that are squares, of which those stay that share a point with the study area, also where their middle lies outside."""
+    found = scored_grid.amenities(t.features)
+    west, east, south, north = (F.col(c) + d for c, d in (("lon", -HALF), ("lon", HALF), ("lat", -HALF), ("lat", HALF)))
+    ring = F.array(*(F.array(x, y) for x, y in ((west, south), (east, south), (east, north), (west, north))))
+    squares = found.withColumns({"kind": F.lit("polygon"), "geometry": F.array(F.array(ring))})
+    return meeting(squares, STUDY).select("osm_type", "osm_id", "category")
+
+
+@query(sql(f"SELECT osm_type, osm_id, category FROM amenities WHERE {_inside_sql('lon', 'lat')}", "amenities"))
+def study_area_point_join(t):
+    """The points in the study area by the join with its sides that long outlines take."""
+    return within_area(scored_grid.amenities(t.features), STUDY, F.col("lon"), F.col("lat"), inline=0).select("osm_type", "osm_id", "category")
+
+
 def _line_sql(x: str, y: str) -> str:
     parts = []
     for (ax, ay), (bx, by) in zip(LINE, LINE[1:]):  # noqa: B905
@@ -545,10 +581,13 @@ def tile_ids(t):
     return tile_assign_amenities(t).select("z", "x", "y").distinct().withColumn("tile_id", geo.hilbert_id(F.col("z"), F.col("x"), F.col("y")))
 
 
+#: A notched area as shares of the nodes' metric bounds.
+NOTCHED = ((0.05, 0.1), (0.5, 0.0), (0.95, 0.1), (1.0, 0.9), (0.6, 0.95), (0.5, 0.4), (0.3, 1.0), (0.0, 0.8))
+
+
 @query()
 def clip_boundary_cells(t):
     """Cells of a notched metric area, clipped to it."""
     x0, y0, x1, y1 = scored_grid.metric_box(t.nodes)
-    across, up = x1 - x0, y1 - y0
-    area = [[[(x0 + across * a, y0 + up * b) for a, b in ((0.05, 0.1), (0.5, 0.0), (0.95, 0.1), (1.0, 0.9), (0.6, 0.95), (0.5, 0.4), (0.3, 1.0), (0.0, 0.8))]]]
+    area = [[[(x0 + (x1 - x0) * a, y0 + (y1 - y0) * b) for a, b in NOTCHED]]]
     return grid.grid_cells(t.spark, 200, area).select("cell_id", "clip_required", *(F.round(c, 3).alias(c) for c in ("x", "y")), F.round("share", 6).alias("share"))
