@@ -298,24 +298,28 @@ def components(edges: DataFrame, *, plain: int = 1_000_000) -> DataFrame:
     small-star rounds join these, until every id has one edge and none of its
     own star's centre.  Each round is written to the shared folder.  Beyond
     ``plain`` edges the least neighbours are written, too: a hub's edges then
-    meet a plain table, and skew handling can split them.
+    meet a plain table, and skew handling can split them.  Up to it, a round's
+    edges go on in eight parts, which contract again.
     """
 
     def settled(df: DataFrame) -> bool:
-        ends = df.select(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(df.select(F.col("b").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-        return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty()
+        ends = df.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(df.select(F.col("b").alias("id"), F.lit(None).cast("long").alias("to")))
+        return ends.groupBy("id").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max(F.col("to").isNull()).alias("into")).where((F.col("low") != F.col("high")) | (F.col("low").isNotNull() & F.col("into"))).isEmpty()
 
     now = stage(edges.select("a", "b").mapInArrow(_stars, EDGES).distinct(), "edges")
     large_table = now.limit(plain + 1).count() > plain
     least = lambda df: stage(df, "least") if large_table else df
+    fewer = lambda df: df.distinct() if large_table else df.coalesce(8).mapInArrow(_stars, EDGES)
+    if not large_table:
+        now = stage(fewer(now), "stars")
     while not settled(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = least(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = stage(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
+        large = stage(fewer(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large-star")
         low = least(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stage(small.unionByName(low.toDF("a", "b")).distinct(), "small-star")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        now = stage(fewer(small.unionByName(low.toDF("a", "b"))), "small-star")
+    return now.distinct().select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -548,7 +552,7 @@ def link_texts(rows: DataFrame, *, num: int, den: int, n: int, chunk: int = 512,
     # exact links: small components whole
     whole = max(2, chunk // 4)
     both = stage(candidates.unionByName(candidates.select(F.col("component").alias("id"), "component")).distinct(), "candidates")
-    sizes = stage(both.groupBy("component").agg(F.count("*").alias("n")), "candidate-sizes")
+    sizes = both.groupBy("component").agg(F.count("*").alias("n"))
     few = both.limit(broadcast_ids + 1).count() <= broadcast_ids
 
     def sets_of(ids: DataFrame) -> DataFrame:

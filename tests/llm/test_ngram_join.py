@@ -96,8 +96,9 @@ def test_components(spark):
                 todo.append(y)
         return min(seen)
 
-    found = {r["id"]: r["component"] for r in join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: smallest(x) for x in near if smallest(x) != x}
+    for plain in (1_000_000, 5):
+        found = {r["id"]: r["component"] for r in join.components(spark.createDataFrame(edges, "a long, b long"), plain=plain).collect()}
+        assert found == {x: smallest(x) for x in near if smallest(x) != x}
     assert join.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
