@@ -598,17 +598,18 @@ def link_documents(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4
     return filled.join(told, "text_key").select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
-def drop_near_duplicates(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, num: int = 85, den: int = 100, n: int = 4, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 200_000, **options) -> DataFrame:
     """One row of each component of linked texts stays: that of the smallest id, and of texts with that id the one of the smallest digest.
 
     Rows count by their texts, so rows that repeat an id with texts that have nothing in common all stay.  Of rows equal
     in id and text one stays, the least in its other columns where these can be ordered.  Rows without an id and texts
-    without words stay all.
+    without words stay all.  Up to ``broadcast_ids`` texts that go or repeat meet the rows by a broadcast, so that no whole
+    text is shuffled for it; more do by a shuffle.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     id_, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
     plain = docs.toDF(*names).withColumns({"doc_id": F.col(id_).cast("long"), "text": F.coalesce(F.col(text), F.lit(""))})
-    found = link_texts(plain.select("doc_id", "text").where("doc_id is not null"), num=num, den=den, n=n, **options)
+    found = link_texts(plain.select("doc_id", "text").where("doc_id is not null"), num=num, den=den, n=n, broadcast_ids=broadcast_ids, **options)
     linked = components(found.edges)
     linked = stage(linked.unionByName(linked.select(F.col("component").alias("id"), "component")).distinct().join(found.texts.select(F.col("node").alias("id"), "first", "text_key"), "id"), "linked")
     stays = linked.groupBy("component").agg(F.min(F.struct("first", "text_key"))["text_key"].alias("text_key")).select("text_key")
@@ -617,7 +618,8 @@ def drop_near_duplicates(docs: DataFrame, *, num: int = 85, den: int = 100, n: i
     copies = found.keys.where("words").groupBy("text_key", "doc_id").agg(F.count("*").alias("n")).groupBy("text_key").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.sum("n").alias("rows")).where("rows > 1")
     copies = copies.join(gone, "text_key", "left_anti").select("text_key", F.col("least.doc_id").alias("first"), F.col("least.n").alias("n"))
     fate = stage(gone.unionByName(copies), "fates")
-    judged = plain.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary")))).join(fate, "text_key", "left")
+    few = fate.limit(broadcast_ids + 1).count() <= broadcast_ids
+    judged = plain.withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary")))).join(F.broadcast(fate) if few else fate, "text_key", "left")
     kept = judged.where(F.col("n").isNull() | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("first")))
     several = (F.col("n") > 1) & F.col("doc_id").isNotNull()
     out = kept.where(~F.coalesce(several, F.lit(False))).select(names)

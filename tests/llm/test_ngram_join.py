@@ -174,6 +174,14 @@ def test_both_ways_of_reading_again_agree(docs):
     assert one == result(join.link_documents(docs(rows))) == brute(rows)
 
 
+def test_both_ways_of_dropping_agree(docs):
+    rng = random.Random(11)
+    rows = [(k % 90, " ".join(f"w{j if rng.random() < 0.97 else rng.randrange(10**6)}" for j in range(50 * (k % 5), 50 * (k % 5) + 40))) for k in range(120)]
+    rows += [rows[3], rows[4], (None, rows[5][1]), (200, None), (200, "")]
+    kept = lambda **options: sorted((str(r["doc_id"]), r["text"] or "") for r in join.drop_near_duplicates(docs(rows), **options).collect())
+    assert kept(broadcast_ids=0) == kept() and len(kept()) < len(rows)
+
+
 def test_rows_that_repeat_give_a_row_each(docs):
     rows = [(5, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (6, None), (6, None), (7, "a b c d e")]
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in join.link_documents(docs(rows)).collect())
