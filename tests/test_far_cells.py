@@ -72,7 +72,7 @@ def refusing(monkeypatch, module, name):
     monkeypatch.setattr(module, name, refuse)
 
 
-@pytest.mark.parametrize("name", ["origin_dedup_union", "flagship_scored_grid", "cell_popups", "publish_rows_grid", "mvt_tiles", "grid_rows_by_resolutions", "grid_rows_ordered"])
+@pytest.mark.parametrize("name", ["origin_dedup_union", "flagship_scored_grid", "cell_popups", "publish_rows_grid", "mvt_tiles", "grid_rows_by_resolutions", "grid_rows_ordered", "score_summary"])
 def test_cells_are_placed_without_tables_of_pairs(spark, small, monkeypatch, name):
     refusing(monkeypatch, snap, "written")
     assert catalog.QUERIES[name](spark, small).count() > 0
