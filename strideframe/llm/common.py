@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from strideframe.storage import shared_dir, work_path, written
 
-__all__ = ["shared_dir", "small_batches", "split_batch", "stage", "with_fields", "work_path"]
+__all__ = ["give_back", "released", "shared_dir", "small_batches", "split_batch", "stage", "with_fields", "work_path"]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -39,3 +41,23 @@ def split_batch(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.Recor
     rows = max(1, min(batch.num_rows, most * batch.num_rows // max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def give_back() -> None:
+    """Returns free memory to the system, that of Arrow's pool and, where the C library can, its own."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of ``mapInArrow``, at whose end the worker gives free memory back: workers are used again, and what one task has freed would stay beside the next one's."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

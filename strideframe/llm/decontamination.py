@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import small_batches, split_batch, stage, with_fields
+from .common import released, small_batches, split_batch, stage, with_fields
 
 #: Bytes that aren't part of a word, and the letters that are lower-cased.
 _OUTSIDE = [*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -149,7 +149,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text_c
                     made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(arrow.types)]
                     yield pa.RecordBatch.from_arrays([*own, *made], names=[*(f"c{i}" for i in range(len(own))), *arrow.names])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(released(run), schema)
         shard, first = next(shards, None), False
         if shard is not None:
             out = stage(out, "shard-hits")

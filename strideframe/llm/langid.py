@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, split_batch, with_fields
+from .common import released, small_batches, split_batch, with_fields
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                     size = 0
         yield from out()
 
-    counts = taken.mapInArrow(count, "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = taken.mapInArrow(released(count), "lang string, gram long, n long, docs long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     total = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     kept = total.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("docs") >= least) & (F.col("rate") >= typical * F.col("most")))
     if grams is not None:
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: LanguageFilter, *, n: int = 4, text_col: st
                 columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array(list(map(len, grams)), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*(f"c{i}" for i in range(part.num_columns)), "lang_pred", "score", "n_grams"])
 
-    return docs.mapInArrow(run, with_fields(docs, PREDICTED))
+    return docs.mapInArrow(released(run), with_fields(docs, PREDICTED))
 
 
 def is_rejected(floor: float, z: float = 3.0) -> F.Column:

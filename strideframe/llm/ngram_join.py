@@ -57,7 +57,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, split_batch, stage
+from .common import released, small_batches, split_batch, stage
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -306,10 +306,10 @@ def components(edges: DataFrame, *, plain: int = 1_000_000) -> DataFrame:
         ends = df.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(df.select(F.col("b").alias("id"), F.lit(None).cast("long").alias("to")))
         return ends.groupBy("id").agg(F.min("to").alias("low"), F.max("to").alias("high"), F.max(F.col("to").isNull()).alias("into")).where((F.col("low") != F.col("high")) | (F.col("low").isNotNull() & F.col("into"))).isEmpty()
 
-    now = stage(edges.select("a", "b").mapInArrow(_stars, EDGES).distinct(), "edges")
+    now = stage(edges.select("a", "b").mapInArrow(released(_stars), EDGES).distinct(), "edges")
     large_table = now.limit(plain + 1).count() > plain
     least = lambda df: stage(df, "least") if large_table else df
-    fewer = lambda df: df.distinct() if large_table else df.coalesce(8).mapInArrow(_stars, EDGES)
+    fewer = lambda df: df.distinct() if large_table else df.coalesce(8).mapInArrow(released(_stars), EDGES)
     if not large_table:
         now = stage(fewer(now), "stars")
     while not settled(now):
@@ -516,8 +516,8 @@ def link_texts(rows: DataFrame, *, num: int, den: int, n: int, chunk: int = 512,
     read_at = lambda chosen: rows.join(chosen.withColumnRenamed("first", "doc_id"), ["text_key", "doc_id"]).select("node", "text")
 
     # postings, lists, and each node's size and sketch
-    posted = read_at(nodes).mapInArrow(_postings(rule, n), "key long, node long, sketch binary")
-    lists = stage(posted.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(_lists(chunk), LISTS), "lists")
+    posted = read_at(nodes).mapInArrow(released(_postings(rule, n)), "key long, node long, sketch binary")
+    lists = stage(posted.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(released(_lists(chunk)), LISTS), "lists")
     features = lists.where("node is not null").select(F.col("node").alias("id"), "size", "sketch")
     parts = lists.where("members is not null").select("key", "part", "members")
 
@@ -528,11 +528,11 @@ def link_texts(rows: DataFrame, *, num: int, den: int, n: int, chunk: int = 512,
     enough = long.groupBy("node", "band").agg(F.count("*").alias("lists")).where(F.col("lists") >= least).select("node", "band")
     left = long.join(enough, ["node", "band"]).select("key", "node", F.lit(None).cast("binary").alias("sketch"))
     order = F.xxhash64("node", F.pmod(F.shiftright("key", 6), F.lit(3)))
-    again = stage(left.repartition(F.col("key")).sortWithinPartitions("key", order, "node").mapInArrow(_lists(chunk), LISTS), "long-lists").select("key", "part", "members")
+    again = stage(left.repartition(F.col("key")).sortWithinPartitions("key", order, "node").mapInArrow(released(_lists(chunk)), LISTS), "long-lists").select("key", "part", "members")
 
     def compared(placed: DataFrame) -> DataFrame:
         described = placed.join(features, "id").select("item", "side", "id", "size", "sketch")
-        return described.repartition(F.col("item")).sortWithinPartitions("item", "side", "id").mapInArrow(_likely(num, den), EDGES)
+        return described.repartition(F.col("item")).sortWithinPartitions("item", "side", "id").mapInArrow(released(_likely(num, den)), EDGES)
 
     # each different part in itself
     short = parts.join(hot, "key", "left_anti")
@@ -557,10 +557,10 @@ def link_texts(rows: DataFrame, *, num: int, den: int, n: int, chunk: int = 512,
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = nodes.join(ids.select(F.col("id").alias("node")), "node")
-        return read_at(F.broadcast(wanted) if few else wanted).mapInArrow(_sets(n), "id long, shingles binary").dropDuplicates(["id"])
+        return read_at(F.broadcast(wanted) if few else wanted).mapInArrow(released(_sets(n)), "id long, shingles binary").dropDuplicates(["id"])
 
     def linked(work: DataFrame) -> DataFrame:
-        return work.repartition(F.col("item")).sortWithinPartitions("item", "side", "id").mapInArrow(_exact(num, den), EDGES)
+        return work.repartition(F.col("item")).sortWithinPartitions("item", "side", "id").mapInArrow(released(_exact(num, den)), EDGES)
 
     small = both.join(sizes.where(F.col("n") <= whole), "component").select(F.col("component").alias("item"), F.lit(0).alias("side"), "id")
     edges = linked(small.join(sets_of(small), "id").select("item", "side", "id", "shingles"))
@@ -574,7 +574,7 @@ def link_texts(rows: DataFrame, *, num: int, den: int, n: int, chunk: int = 512,
         down = likely.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(large.select(F.col("id").alias("a")), "a")
         asked = down.groupBy("a").agg(F.min("b").alias("p"), F.max("b").alias("q")).select("a", F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
         pairs = asked.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        sure = stage(pairs.mapInArrow(_verified(num, den), EDGES), "verified")
+        sure = stage(pairs.mapInArrow(released(_verified(num, den)), EDGES), "verified")
         apart = large.join(components(sure).toDF("id", "sub"), "id", "left").select(F.col("component").alias("group"), F.coalesce("sub", "id").alias("sub"), "id")
         met = cross_parts(apart, max(1, chunk // 8)).join(own, "id").select("item", "side", "id", "shingles")
         edges = edges.unionByName(sure).unionByName(linked(met))

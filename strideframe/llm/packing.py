@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, split_batch
+from .common import released, small_batches, split_batch
 from .tokens import Encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -148,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
             return batch
 
         for batch in batches:
-            for part in split_batch(batch, 6 << 20):
+            for part in split_batch(batch, 3 << 20):
                 ids, ends = encoder.encode_all(part.column(1))
                 ids = np.insert(ids, ends[1:], end_id).astype("<u4")
                 ends = ends + np.arange(len(ends))
@@ -160,4 +160,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
         if rows:
             yield out()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), PIECES)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, split_batch, with_fields
+from .common import released, small_batches, split_batch, with_fields
 
 #: The kinds in their order, and the patterns of the strong spans.
 KINDS = ("assign", "access", "hex", "secret_part", "id_part")
@@ -120,7 +120,7 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", out_col: str = "sec
                 spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan_text(x, scope)] for x in part.column(where).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, kind)], names=[*(f"c{i}" for i in range(part.num_columns)), "spans"])
 
-    return docs.mapInArrow(run, with_fields(docs, f"`{out_col}` {SPANS}"))
+    return docs.mapInArrow(released(run), with_fields(docs, f"`{out_col}` {SPANS}"))
 
 
 def cut_spans(text: str | None, spans: list[tuple[int, int, int]], mask: str = "[SECRET]") -> str | None:
@@ -150,7 +150,7 @@ def mask_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRE
                 columns[where] = pa.array(texts, columns[where].type)
                 yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(part.num_columns)])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def span_text(spans: str | F.Column, kinds: tuple[str, ...] | None = None) -> F.Column:

@@ -53,14 +53,15 @@ def _splits_at_blanks(path: str) -> bool:
     )
 
 
-class _Kept(dict):
-    """A bounded cache: it starts anew when full."""
+class _Words(dict):
+    """Words' ids, a bounded cache: it starts anew when full.  Nothing here refers to the encoder, so that both go when that does."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
+    def __init__(self, model, most: int):
+        self.model, self.characters, self.most = model, _byte_characters(), most
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        ids = [t.id for t in self.model.tokenize(key if key.isascii() else key.encode().decode("latin-1").translate(self.characters))]
+        value = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= self.most:
             self.clear()
         if len(key) <= 64:
@@ -75,18 +76,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.by_units = _splits_at_blanks(path)
-        self.model = self.tokenizer.model
-        self.characters = _byte_characters()
-        self.words = _Kept(self._word, keep)
+        self.words = _Words(self.tokenizer.model, keep)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.characters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def _unit(self, unit: str) -> bytes:
         low = unit.lower()
         if low.isalpha() and low.isascii():
