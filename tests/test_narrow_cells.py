@@ -16,7 +16,7 @@ def no_small_tables(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["cell_popups", "grid_rows_ordered", "grid_rows_by_resolutions", "publish_rows_grid"])
+@pytest.mark.parametrize("name", ["cell_popups", "grid_rows_ordered", "grid_rows_by_resolutions", "publish_rows_grid", "score_summary"])
 def test_cells_are_stored_by_place_and_not_shuffled(spark, small, monkeypatch, no_small_tables, name):
     stored, write = {}, scored_grid.written
 
