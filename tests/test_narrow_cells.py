@@ -1,6 +1,5 @@
 """Cells are stored as places and joined with their scores where they are."""
 
-
 import pytest
 from pyspark.sql import functions as F
 
