@@ -154,7 +154,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, *, capacity: in
                 ends = ends + np.arange(len(ends))
                 for doc, i, j in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                     add(doc, ids[i:j])
-                    if len(rows) >= 4096:
+                    if len(rows) >= 512:
                         yield out()
         close()
         if rows:

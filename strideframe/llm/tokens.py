@@ -70,13 +70,18 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers; None counts as an empty text."""
+    """Ids of whole texts, as little-endian unsigned 32-bit integers; None counts as an empty text.  ``keep`` words and ``unit_bytes`` of units and their ids are cached."""
 
-    def __init__(self, path: str, keep: int = 150_000):
+    def __init__(self, path: str, keep: int = 150_000, unit_bytes: int = 24 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.by_units = _splits_at_blanks(path)
         self.words = _Words(self.tokenizer.model, keep)
+        self.unit_bytes = unit_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units, self.unit_ids, self.unit_ends = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -94,26 +99,52 @@ class Encoder:
             return self._whole(unit)
         return b"".join(map(self.words.__getitem__, _PLAIN_WORDS.findall(low)))
 
+    def _find(self, units: pa.Array) -> np.ndarray:
+        """The places of distinct units in the cache, which takes up the new ones."""
+        found = pc.index_in(units, value_set=self.units)
+        if not found.null_count:
+            return found.to_numpy()
+        new = units.filter(found.is_null())
+        made = [self._unit(x) for x in new.to_numpy(zero_copy_only=False).tolist()]  # a third of the time of to_pylist
+        places = found.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        places[found.is_null().to_numpy(zero_copy_only=False)] = len(self.units) + np.arange(len(new))
+        self.units = pa.concat_arrays([self.units, new])
+        self.unit_ids = np.concatenate([self.unit_ids, np.frombuffer(b"".join(made), "<u4")])
+        self.unit_ends = np.concatenate([self.unit_ends, self.unit_ends[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)) >> 2)])
+        return places
+
+    def _bound(self, units: pa.Array, places: np.ndarray) -> None:
+        """A full cache goes on with the units of the last batch, or anew if they alone fill half of it."""
+        held = lambda: self.units.nbytes + self.unit_ids.nbytes + self.unit_ends.nbytes
+        if held() > self.unit_bytes:
+            first, size = self.unit_ends[places], np.diff(self.unit_ends)[places]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            self.units, self.unit_ids, self.unit_ends = units, self.unit_ids[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])], ends
+            if held() > self.unit_bytes // 2:
+                self._forget()
+
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts one after another, and where each text's begin (one more than texts)."""
         texts = texts.cast(pa.large_string()).fill_null("")
         if not self.by_units:
-            made, flat, ends = [self._whole(x) for x in texts.to_pylist()], np.arange(len(texts)), np.arange(len(texts) + 1)
-        else:
-            split = pc.ascii_split_whitespace(texts)
-            ends = split.offsets.to_numpy()
-            kinds = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-            ends = ends - ends[0]
-            made, flat = [self._unit(x) for x in kinds.dictionary.to_pylist()], kinds.indices.to_numpy()
-        size = np.fromiter(map(len, made), np.int64, len(made)) >> 2
-        ids, first = np.frombuffer(b"".join(made), "<u4"), np.cumsum(size) - size
-        each = size[flat]
+            made = [self._whole(x) for x in texts.to_pylist()]
+            return np.frombuffer(b"".join(made), "<u4"), np.cumsum([0, *(len(x) >> 2 for x in made)])
+        split = pc.ascii_split_whitespace(texts)
+        ends = split.offsets.to_numpy()
+        kinds = split.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        places = self._find(kinds.dictionary)
+        flat = places[kinds.indices.to_numpy()]
+        first = self.unit_ends[flat]
+        each = self.unit_ends[flat + 1] - first
         at = np.zeros(len(flat) + 1, np.int64)
         np.cumsum(each, out=at[1:])
-        kind = np.int32 if at[-1] < 1 << 31 else np.int64  # half the memory of the longest arrays here
-        place = np.repeat((first[flat] - at[:-1]).astype(kind), each)
+        first -= at[:-1]
+        kind = np.int32 if max(at[-1], len(self.unit_ids)) < 1 << 31 else np.int64  # half the memory of the longest arrays here
+        place = np.repeat(first.astype(kind), each)
         place += np.arange(at[-1], dtype=kind)
-        return ids[place], at[ends]
+        ids = self.unit_ids[place]
+        self._bound(kinds.dictionary, places)
+        return ids, at[ends - ends[0]]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all(pa.array([text], pa.large_string()))[0]
